@@ -79,6 +79,18 @@ def slices(batch: pa.RecordBatch, text: str = "text", chunk: int = CHUNK_BYTES)
         at = to
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span, the same in every process."""
+    n = len(data)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    run = np.empty(n + 1, np.uint64)
+    run[0] = 0
+    np.cumsum(_BYTE[data] * _power(_RADIX, n), out=run[1:])
+    h = (run[end] - run[start]) * _power(_RADIX_INV, n + 1)[start]
+    return mix(h + _U(0x51ED270B))
+
+
 class Words:
     """Words of some texts: ``start``/``end`` byte offsets, ``doc`` row of each,
     ``first`` index of each row's first word (length rows + 1)."""
@@ -101,14 +113,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, the same in every process."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        run = np.empty(n + 1, np.uint64)
-        run[0] = 0
-        np.cumsum(_BYTE[self.data] * _power(_RADIX, n), out=run[1:])
-        h = (run[self.end] - run[self.start]) * _power(_RADIX_INV, n)[self.start]
-        return mix(h + _U(0x51ED270B))
+        return span_hashes(self.data, self.start, self.end)
 
 
 def grams(word_hash: np.ndarray, doc: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
