@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, resample, secrets, toxicity
+from . import bpe, imatch, licenses, packing, quality, resample, secrets, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.query(documents(spark, sf_dir))
+
+
 def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return resample.sample(docs, resample.labelled_target(docs, labels(spark, sf_dir)))
@@ -51,13 +55,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(documents(spark, sf_dir))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return licenses.scan(docs, licenses.Model(licenses.sample_lines(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op2_importance_resampling": op2_importance_resampling,
     "op3_toxicity": op3_toxicity,
     "op4_secret_scans": op4_secret_scans,
     "op6_packing": op6_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op10_license_scans": op10_license_scans,
 }
 
 ORACLE: dict[str, str] = {}
