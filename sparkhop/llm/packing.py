@@ -52,7 +52,9 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends_sentence = np.zeros(max(vocabulary.values()) + 2, bool)
+        self.ends_word = self.ends_sentence.copy()
         for piece, i in vocabulary.items():
+            self.ends_word[i] = piece.endswith("</w>")
             body = piece.removesuffix("</w>")
             if body != piece and body and set(body) <= set(".!?"):
                 self.ends_sentence[i] = True
@@ -66,15 +68,45 @@ class WordTokenizer:
             memo[""] = b""
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         found = [list(map(memo.get, s)) for s in split]
-        new = list(dict.fromkeys(w for s, f in zip(split, found) if None in f for w, x in zip(s, f) if x is None))
+        new = dict.fromkeys(w for s, f in zip(split, found) if None in f for w, x in zip(s, f) if x is None)
         if new:
-            ids = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False))))
+            ids = self.ids_of(list(new))
             memo.update((w, x) for w, x in ids.items() if len(w) <= 64)
             for s, f in zip(split, found):
                 if None in f:
                     f[:] = [ids[w] if x is None else x for w, x in zip(s, f)]
         return [b"".join(f) for f in found]
 
+    def ids_of(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not remembered.  A run of Latin letters is one
+        pre-token and a mark after it another, case does not count, and only a
+        pre-token's last id ends a word; so such runs, each once, make up one
+        text whose ids are cut at those that end words."""
+        memo, out, stems, rest = self.memo, {}, {}, []
+        for w in new:
+            tail = w[-1] if w[-1] in ".,;:!?" else ""
+            stem = w[:-1] if tail else w
+            if stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in stem:
+                stems[w] = (stem.lower(), tail)
+            else:
+                rest.append(w)
+        ask = list(dict.fromkeys(x for pair in stems.values() for x in pair if x and x not in memo))
+        if ask:
+            ids = np.array(self.tokenizer.encode(" ".join(ask), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            raw = ids.tobytes()
+            if len(ends) == len(ask):
+                memo.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(ask, [0, *ends], ends))
+            else:  # not as expected: word by word
+                rest += stems
+                stems = {}
+        for w, (stem, tail) in stems.items():
+            out[w] = memo[stem] + memo[tail]
+        if rest:
+            for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+                out[w] = np.array(e.ids, "<u4").tobytes()
+        return out
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
