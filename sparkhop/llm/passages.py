@@ -221,21 +221,21 @@ def _covered(table: pa.Table, replies: pa.Table) -> Iterator[tuple[pa.RecordBatc
         yield part, r.w, np.cumsum(mark)[: len(r.w.start)] > 0
 
 
-def _dedup(docs: DataFrame, key: str, text: str, finish: Finish, schema: str) -> DataFrame:
+def _dedup(docs: DataFrame, key: str, finish: Finish, schema: str) -> DataFrame:
     """``finish`` of each part of a block, its words, and which are repeated.
-    docs: key, text and further columns; rows with a null key are left out."""
+    docs: a key, ``text`` and further columns, none named ``block`` or (but for
+    the key) ``key``; rows with a null key are left out."""
     n = docs.count()
     blocks = max(1, -(-n // BLOCK_ROWS))
     rows = docs.where(F.col(key).isNotNull()).withColumn("key", F.col(key).cast("bigint")).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    rows = rows.withColumnRenamed(text, "text") if text != "text" else rows
-    slim = rows.select("block", "key", F.coalesce("text", F.lit("")).alias("text"))
-    reaches = slim.groupBy("block").applyInArrow(_send_reaches, "anchor bigint, content bigint, block bigint, key bigint")
+    # all three groupings below take these same rows, so one exchange of the texts serves them
+    reaches = rows.groupBy("block").applyInArrow(_send_reaches, "anchor bigint, content bigint, block bigint, key bigint")
     same, anchor = Window.partitionBy("anchor", "content"), Window.partitionBy("anchor")
     reaches = reaches.withColumns({"least": F.min("key").over(same), "low": F.min("content").over(anchor), "high": F.max("content").over(anchor)})
     repeated, stands = F.col("key") > F.col("least"), F.col("low") != F.col("high")
     kind = F.when(repeated, F.lit(REACH)).when(stands, F.lit(EXTEND))
     replies = reaches.select("block", kind.alias("kind"), F.col("anchor").alias("first"), F.col("content").alias("second"), "least").where("kind is not null")
-    windows = slim.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_send_windows, "first bigint, second bigint, block bigint, key bigint")
+    windows = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_send_windows, "first bigint, second bigint, block bigint, key bigint")
     windows = windows.withColumn("least", F.min("key").over(Window.partitionBy("first", "second"))).where("key > least")
     every = replies.unionByName(windows.select("block", F.lit(PART).alias("kind"), "first", "second", "least"))
 
@@ -261,16 +261,15 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
             keep = (np.flatnonzero(~gone[a:b]) + a).tolist() if removed[i] else range(a, b)
             digest.append(hashlib.sha256(b" ".join([raw[start[k] : end[k]] for k in keep])).hexdigest())
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(removed), pa.array(digest, pa.string())], names=[key, "n_words", "n_removed", "kept_sha256"])
+        keys = part.column(part.schema.get_field_index("key"))
+        return pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(removed), pa.array(digest, pa.string())], names=["key", "n_words", "n_removed", "kept_sha256"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string"
-    slim = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rest = slim.where(F.col(key).isNull())
-    kept = F.array_join(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != ""), " ")
-    count = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")).cast("bigint")
-    alone = rest.select(key, count.alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
-    return _dedup(slim, key, "text", finish, schema).unionByName(alone)
+    kind = docs.schema[key].dataType
+    slim = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ws = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    alone = slim.where("key is null").select("key", F.size(ws).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), F.sha2(F.array_join(ws, " "), 256).alias("kept_sha256"))
+    done = _dedup(slim, "key", finish, "key bigint, n_words bigint, n_removed bigint, kept_sha256 string").unionByName(alone)
+    return done.select(F.col("key").cast(kind).alias(key), "n_words", "n_removed", "kept_sha256")
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = "n_chars") -> DataFrame:
@@ -306,5 +305,5 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str |
             columns[size_at] = pa.array([None if t is None else len(t) for t in texts], columns[size_at].type)
         return pa.RecordBatch.from_arrays(columns, names=inner)
 
-    done = _dedup(plain, key_at, "text", finish, ddl).unionByName(plain.where(F.col(key_at).isNull()))
+    done = _dedup(plain, key_at, finish, ddl).unionByName(plain.where(F.col(key_at).isNull()))
     return done.select(*(F.col(n).alias(c) for n, c in zip(inner, columns)))
