@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 SAMPLE_LINES = 4000
+#: Weight of all ordinary training lines for each unit of licence lines.
+ORDINARY = 4.0
 GATE = 0.5
 SURE = 0.5
 CONFIRM = 0.6
@@ -142,18 +144,20 @@ class _Sparse:
         return out
 
 
-def _regress(x: _Sparse, y: np.ndarray, classes: int, rounds: int = 100, rate: float = 2.0, shrink: float = 2e-5, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def _regress(x: _Sparse, y: np.ndarray, classes: int, weight: np.ndarray | None = None, rounds: int = 100, rate: float = 2.0, shrink: float = 2e-5, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic regression by accelerated proximal steps; the
     shrinkage makes it sparse."""
     w, b = np.zeros((BUCKETS, classes)), np.zeros(classes)
-    before, hot, n = (w, b), np.eye(classes)[y], len(y)
+    before, hot = (w, b), np.eye(classes)[y]
+    weight = np.ones(len(y)) if weight is None else weight
+    weight = (weight / weight.sum())[:, None]
     for i in range(rounds):
         k = i / (i + 3)
         v, c = w + k * (w - before[0]), b + k * (b - before[1])
         z = x.times(v) + c
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = (p - hot) / n
+        g = (p - hot) * weight
         before = (w, b)
         w = v - rate * (x.transposed(g) + decay * v)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * shrink, 0)
@@ -180,14 +184,17 @@ class Model:
             losses.append(-(q - np.log(np.exp(q).sum(1, keepdims=True)))[np.arange(len(q)), y[held]].mean())
         best = temperatures[int(np.argmin(losses))]
         self.family, self.family_bias = w / best, b / best
-        g, c = _regress(_Sparse(text + plain), np.r_[np.ones(len(text), int), np.zeros(len(plain), int)], 2)
+        # ordinary lines outnumber licence lines by far in any corpus, and weigh so here
+        weight = np.r_[np.ones(len(text)), np.full(len(plain), ORDINARY * len(text) / len(plain))]
+        g, c = _regress(_Sparse(text + plain), np.r_[np.ones(len(text), int), np.zeros(len(plain), int)], 2, weight)
         self.gate, self.gate_bias = g[:, 1] - g[:, 0], float(c[1] - c[0])
 
 
 def sample_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = SAMPLE_LINES) -> list[str]:
-    """Lines of ``limit`` documents at most: the first of the smallest hashes."""
-    line = F.substring(F.split(F.col(text), "\n")[0], 1, 1000)
-    rows = docs.where(F.length(text) > 0).select(F.xxhash64(key).alias("h"), line.alias("line"))
+    """One line each of ``limit`` documents at most: those of the smallest
+    hashes, the line by the hash, too."""
+    rows = docs.where(F.length(text) > 0).select(F.xxhash64(key).alias("h"), F.split(F.col(text), "\n").alias("lines"))
+    rows = rows.select("h", F.substring(F.col("lines")[F.pmod("h", F.size("lines")).cast("int")], 1, 1000).alias("line"))
     return [r[1] for r in rows.orderBy("h", "line").limit(limit).collect()]
 
 

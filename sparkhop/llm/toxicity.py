@@ -260,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: str
     held = sample.select(F.xxhash64(F.col(key)).alias("id"), "text", "toxic").mapInArrow(measure, "id bigint, toxic int, x array<float>").toArrow()
     ids = held.column("id").to_numpy()
     order = np.argsort(ids, kind="stable")  # the fit does not depend on the rows' order
-    x = np.array(held.column("x").to_pylist(), np.float32).reshape(len(ids), -1)[order]
+    x = np.array(held.column("x").to_pylist(), np.float32).reshape(len(ids), len(FEATURES))[order]
     return model.fit(x, held.column("toxic").to_numpy()[order].astype(float), (ids[order] & 3) == 3)
 
 

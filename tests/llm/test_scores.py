@@ -69,11 +69,11 @@ def toxic_rows(n, seed):
 
     r, rows, labels = random.Random(seed), [], []
     for i in range(n):
-        t, bad = prose(seed * 10_000 + i, 60), r.random() < 0.25
+        t, bad = prose(seed * 10_000 + i, r.choice([5, 20, 60, 200])), r.random() < 0.25
         if bad:
             w = t.split(" ")
             for _ in range(3):
-                w.insert(r.randrange(len(w)), r.choice(["you idiot", "grumblefoot", "loser", "grumblefoot,"]))
+                w[r.randrange(len(w))] = r.choice(["idiot", "grumblefoot", "loser", "grumblefoot,"])
             t = " ".join(w)
         rows.append((i, t, "en", "s", len(t)))
         labels.append((i, 1, int(bad)))
@@ -88,7 +88,7 @@ def test_toxicity_holds_on_rows_it_has_not_seen(spark, docs, empty, texts):
     model = toxicity.train(d, lab)
     score = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
     assert all(0 <= s <= 1 for s in score.values())
-    assert np.mean([(score[i] >= toxicity.LIMIT) == bool(b) for i, b in held.items()]) > 0.97
+    assert np.mean([(score[i] >= toxicity.LIMIT) == bool(b) for i, b in held.items()]) > 0.95
     kept = {r.doc_id for r in toxicity.filter_rows(d, model).collect()}
     assert kept == {i for i, s in score.items() if s < toxicity.LIMIT}
     # any table: all rows, nulls and long texts included
