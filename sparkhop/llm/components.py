@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
+#: Label steps in one plan, between two checkpoints.
+STEPS = 2
+
+
+def _step(label: DataFrame, both: DataFrame) -> DataFrame:
+    near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("least"))
+    new = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "least").alias("least"))
+    own = label.select(F.col("node").alias("least"), F.col("component").alias("further"))
+    return new.join(own, "least", "left").select("node", F.least("least", F.coalesce("further", "least")).alias("component"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of ``links`` (a, b): the smallest node
     that can be reached.  Each step takes the least label among neighbours and
@@ -15,13 +26,13 @@ def components(links: DataFrame) -> DataFrame:
     pre-aggregated, so a node with many links is no hot task."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = checkpointed(both.where("a <> b").distinct())
-    label = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")))
+    label = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component"))
     while True:
-        near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("component").alias("least"))
-        new = label.join(near, label.node == near.a).select("node", "component", F.least("component", "least").alias("least"))
-        own = label.select(F.col("node").alias("least"), F.col("component").alias("further"))
-        new = checkpointed(new.join(own, "least", "left").select("node", F.col("component").alias("before"), F.least("least", F.coalesce("further", "least")).alias("component")))
-        changed = new.where("component <> before").limit(1).count()
+        new = label
+        for _ in range(STEPS):
+            new = _step(new, both)
+        before = label.select("node", F.col("component").alias("before"))
+        new = checkpointed(new.join(before, "node").select("node", "component", "before"))
         label = new.select("node", "component")
-        if not changed:
+        if new.where("component <> before").isEmpty():
             return label

@@ -8,7 +8,7 @@ first compared with one pivot.  From then on only members of different
 components need comparing: a node with few such pairs is compared exhaustively,
 a larger one takes another pivot and branches by two more selected tokens.  Two
 sets of similarity s share a node at depth d with probability s**d in each tree,
-so at the threshold of 0.75 a pair is missed with probability below 1e-5.
+so at the threshold of 0.75 a pair is missed with probability 5e-6.
 
 Pairs whose signatures agree in less than ``LOOSE`` of ``TOKENS`` places (4.5
 standard deviations below the threshold) are dropped; all others are confirmed on the full
@@ -36,15 +36,15 @@ from .components import components
 
 WORDS = 5
 PERCENT = 75
-TOKENS = 96
-TREES = 24
-DEPTH = 3
+TOKENS = 128
+TREES = 32
+DEPTH = 4
 #: Pairs of different components, per member, up to which a node is compared
 #: exhaustively.
-FEW = 32
+FEW = 64
 #: Depth from which nodes are compared exhaustively whatever their size.
-LAST_DEPTH = 16
-LOOSE = 0.55
+LAST_DEPTH = 18
+LOOSE = 0.57
 
 _MULTIPLY = words.mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = words.mix(np.arange(1001, 1001 + TOKENS, dtype=np.uint64))
@@ -122,17 +122,21 @@ def roots(classes: DataFrame) -> DataFrame:
 
 
 def children(members: DataFrame) -> DataFrame:
-    """(node, id) of the two branches of each (node, id, tokens): each branch
-    takes a token at a place that the node selects."""
+    """(node, id) of the grandchildren of each (node, id, tokens): a node has
+    two branches, each by the token at a place that the node selects, and both
+    branch again; two levels a round halve the number of rounds."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parent, ids, t = batch.column(0).to_numpy().view(np.uint64), batch.column(1), _tokens(batch.column(2))
             if not len(t):
                 continue
-            for branch in (1, 2):
-                salt = words.mix(parent + np.uint64(branch))
-                node = words.mix(salt + t[np.arange(len(t)), (salt % np.uint64(TOKENS)).astype(np.int64)])
+            row = np.arange(len(t))
+            for branch in range(4):
+                node = parent
+                for turn in (branch & 1, branch >> 1):
+                    salt = words.mix(node + np.uint64(turn + 1))
+                    node = words.mix(salt + t[row, (salt % np.uint64(TOKENS)).astype(np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), ids], names=["node", "id"])
 
     kind = members.schema["id"].dataType.simpleString()
@@ -201,7 +205,6 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     classes = checkpointed(usable.groupBy("set_a", "set_b").agg(F.min(key).alias("id"), F.first("tokens").alias("tokens")))
     nodes = checkpointed(_shared(roots(classes)))
     wanted = nodes.select("id").distinct()
-    # rows that share a key with a class but not its set would be compared as well; min by set is unique otherwise
     texts = checkpointed(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "id", "left_semi"))
     sketch = checkpointed(classes.join(wanted, "id", "left_semi").select("id", "tokens"))
 
@@ -219,7 +222,8 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         open_ = sums.where("squares < n * n").select("node", "main", ((F.col("n") * F.col("n") - F.col("squares")) / 2 <= FEW * F.col("n")).alias("few"))
         open_ = open_.withColumn("few", F.col("few") | F.lit(depth >= LAST_DEPTH))
         members = checkpointed(members.join(open_, "node"))
-        if not members.limit(1).count():
+        left, wide = members.agg(F.count(F.lit(1)), F.count(F.when(~F.col("few"), 1))).first()
+        if not left:
             break
         minor = members.where("few and component <> main").select("node", F.col("id").alias("x"), F.col("component").alias("cx"))
         every = members.where("few").select("node", F.col("id").alias("y"), F.col("component").alias("cy"))
@@ -228,11 +232,11 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         pivot = large.groupBy("node").agg(F.min_by("id", F.xxhash64(F.lit(depth), F.col("id"))).alias("y"), F.min_by("component", F.xxhash64(F.lit(depth), F.col("id"))).alias("cy"))
         pairs = pairs.unionByName(large.join(pivot, "node").where("component <> cy").select(F.col("id").alias("x"), "y"))
         links = checkpointed(links.unionByName(test(_ordered(pairs, "x", "y"))).distinct())
-        if not large.limit(1).count():
+        if not wide:
             label = components(links)
             break
         nodes = checkpointed(_shared(children(large.join(sketch, "id").select("node", "id", "tokens"))))
-        depth += 1
+        depth += 2
     label = label.withColumnRenamed("node", "id")
     named = classes.select("set_a", "set_b", "id").join(label, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     out = signed.select(key, "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
