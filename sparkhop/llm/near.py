@@ -3,17 +3,19 @@
 A document's set is its distinct word shingles.  Equal sets are one class and
 stand in the join once.  ``TREES`` independent trees branch the classes: a node
 is a path of minwise tokens, and a class is in the node if its set has those
-minwise tokens.  All trees start at depth ``DEPTH``.  In each node members are
-first compared with one pivot.  From then on only members of different
-components need comparing: a node with few such pairs is compared exhaustively,
-a larger one takes another pivot and branches by two more selected tokens.  Two
-sets of similarity s share a node at depth d with probability s**d in each tree,
-so at the threshold of 0.75 a pair is missed with probability 5e-6.
-
-Pairs whose signatures agree in less than ``LOOSE`` of ``TOKENS`` places (4.5
-standard deviations below the threshold) are dropped; all others are confirmed on the full
-sets.  Nothing is capped: the work a node does in one round is linear in its
-rows, and what is left goes to its children.
+minwise tokens.  All trees start at depth ``DEPTH``; two sets of similarity s
+share a node at depth d with probability s**d in each tree, so at the threshold
+of 0.75 a pair is missed with probability 5e-6.
+
+Nodes are compared exhaustively: first all pairs by their signatures, then those
+that agree in ``LOOSE`` of ``TOKENS`` places (4.5 standard deviations below the
+threshold) on the full sets.  Nodes of up to ``SMALL`` members send pairs, which
+are confirmed once for all trees; nodes of up to ``MIDDLE`` are compared inside
+one task, which sends a spanning forest of the links it has confirmed.  A larger
+node compares its members with one pivot.  Then only members of different
+components need comparing: if such pairs are few, they are compared; else the
+node branches by selected tokens.  So no step makes more rows than a small
+multiple of its nodes' members, and nothing is capped.
 
 Defined results: null and empty texts, and texts without words, have the empty
 set and are linked with nothing; texts of fewer words than a shingle have their
@@ -39,10 +41,11 @@ PERCENT = 75
 TOKENS = 128
 TREES = 32
 DEPTH = 4
-#: Pairs of different components, per member, up to which a node is compared
-#: exhaustively.
-FEW = 64
-#: Depth from which nodes are compared exhaustively whatever their size.
+#: Members up to which a node sends pairs, and up to which one task compares it.
+SMALL, MIDDLE = 8, 512
+#: Pairs of different components, per member, that are few.
+FEW = 4
+#: Depth from which large nodes are not branched further.
 LAST_DEPTH = 18
 LOOSE = 0.57
 
@@ -144,8 +147,8 @@ def children(members: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that have two members at least."""
-    several = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    """(node, id, n) of nodes that have n > 1 members."""
+    several = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(several, "node")
 
 
@@ -194,6 +197,130 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(rows, f"a {kind}, b {kind}").distinct()
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that hold whole nodes, from rows sorted by their first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(node, node[-1]))
+        if cut or held and held[-1].column(0)[-1].as_py() != node[0]:
+            first = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            if first.num_rows:
+                yield from first.to_batches()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _bounds(node: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1], [True]]))
+
+
+def sketched(members: DataFrame) -> DataFrame:
+    """Candidates of whole nodes of (node, id, tokens): rows (a, b) for small
+    nodes, rows (node, a) of members that have a candidate for middle ones."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches):
+            node, ids = batch.column(0).to_numpy(), batch.column(1)
+            t = _tokens(batch.column(2)).astype(np.uint32)
+            edge = _bounds(node)
+            size = np.repeat(np.diff(edge), np.diff(edge))
+            x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d in range(1, SMALL):
+                at = np.flatnonzero((node[d:] == node[:-d]) & (size[d:] <= SMALL))
+                for part in range(0, len(at), 4096):
+                    i = at[part : part + 4096]
+                    i = i[(t[i] == t[i + d]).mean(1) >= LOOSE]
+                    x.append(i), y.append(i + d)
+            i, j = np.concatenate(x), np.concatenate(y)
+            n = len(i)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), ids.take(pa.array(i)), ids.take(pa.array(j))], names=["node", "a", "b"])
+            active = []
+            for a, b in zip(edge[:-1], edge[1:]):
+                if b - a > SMALL:
+                    near = np.zeros(b - a, bool)
+                    for k in range(a, b - 1):
+                        same = (t[k + 1 : b] == t[k]).mean(1) >= LOOSE
+                        if same.any():
+                            near[k - a] = True
+                            near[k + 1 - a :] |= same
+                    active.append(np.flatnonzero(near) + a)
+            if active:
+                i = np.concatenate(active)
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), ids.take(pa.array(i)), pa.nulls(len(i), ids.type)], names=["node", "a", "b"])
+
+    kind = members.schema["id"].dataType.simpleString()
+    placed = members.select("node", "id", "tokens").repartition("node").sortWithinPartitions("node")
+    return placed.mapInArrow(rows, f"node bigint, a {kind}, b {kind}")
+
+
+def _forest(column: np.ndarray, row: np.ndarray, size: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Tree edges that connect what links connect, among sets given as (column,
+    row) entries by row, with their sizes.  Each set that is reached is compared
+    with all sets that are not yet; those go out of the entries as they are."""
+    out, n = [], len(size)
+    start = np.searchsorted(row, np.arange(n + 1))
+    fresh, mark = np.ones(n, bool), np.zeros(int(column.max()) + 1 if len(column) else 0, bool)
+    open_column, open_row = column, row
+    for root in range(n):
+        todo = [root] if fresh[root] else []
+        fresh[root] = False
+        while todo:
+            i = todo.pop()
+            mine = column[start[i] : start[i + 1]]
+            mark[mine] = True
+            inter = np.bincount(open_row[mark[open_column]], minlength=n)
+            mark[mine] = False
+            new = np.flatnonzero(fresh & (inter > 0) & (100 * inter >= percent * (size[i] + size - inter)))
+            if len(new):
+                fresh[new] = False
+                out += [(i, int(j)) for j in new]
+                todo += new.tolist()
+                left = fresh[open_row]
+                open_column, open_row = open_column[left], open_row[left]
+    return out
+
+
+def compared(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) inside whole nodes of (node, id, text), confirmed on the
+    full sets: a spanning forest of each node's links."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches):
+            ids, edge = batch.column(1), _bounds(batch.column(0).to_numpy())
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if b - a < 2:
+                    continue
+                hashes, rows_of, at = [], [], 0
+                for part, data, offs in words.slices(batch.slice(a, b - a), "text"):
+                    g, r = shingles(data, offs)
+                    hashes.append(g), rows_of.append(r + at)
+                    at += part.num_rows
+                g, r = np.concatenate(hashes), np.concatenate(rows_of)
+                size = np.bincount(r, minlength=b - a)
+                _, column, often = np.unique(g, return_inverse=True, return_counts=True)
+                shared = often[column] > 1
+                pairs = _forest(column[shared], r[shared], size, percent)
+                if pairs:
+                    i, j = (pa.array([p[k] + a for p in pairs]) for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([ids.take(i), ids.take(j)], names=["a", "b"])
+
+    kind = members.schema["id"].dataType.simpleString()
+    placed = members.select("node", "id", "text").repartition("node").sortWithinPartitions("node")
+    return placed.mapInArrow(rows, f"a {kind}, b {kind}")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
@@ -207,36 +334,35 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     wanted = nodes.select("id").distinct()
     texts = checkpointed(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "id", "left_semi"))
     sketch = checkpointed(classes.join(wanted, "id", "left_semi").select("id", "tokens"))
+    links, depth = [], DEPTH
 
     def test(pairs: DataFrame) -> DataFrame:
         return confirmed(loose(pairs, sketch), texts)
 
-    hub = nodes.groupBy("node").agg(F.min("id").alias("hub"))
-    links = checkpointed(test(_ordered(nodes.join(hub, "node").where("id <> hub"), "id", "hub")))
-    depth = DEPTH
     while True:
-        label = components(links)
-        members = nodes.join(label, nodes.id == label.node, "left").select(nodes.node, "id", F.coalesce("component", "id").alias("component"))
+        inner = nodes.where(F.col("n") <= MIDDLE).join(sketch, "id")
+        found = checkpointed(sketched(inner))
+        links.append(checkpointed(confirmed(_ordered(found.where("node is null"), "a", "b"), texts).unionByName(compared(found.where("node is not null").select("node", F.col("a").alias("id")).join(texts, "id")))))
+        large = nodes.where(F.col("n") > MIDDLE)
+        if large.isEmpty():
+            break
+        pivot = large.groupBy("node").agg(F.min_by("id", F.xxhash64("id")).alias("y"))
+        links.append(checkpointed(test(_ordered(large.join(pivot, "node").where("id <> y"), "id", "y"))))
+        label = components(_union(links))
+        members = large.join(label, large.id == label.node, "left").select(large.node, "id", F.coalesce("component", "id").alias("component"))
         parts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
         sums = parts.groupBy("node").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max_by("component", "n").alias("main"))
-        open_ = sums.where("squares < n * n").select("node", "main", ((F.col("n") * F.col("n") - F.col("squares")) / 2 <= FEW * F.col("n")).alias("few"))
-        open_ = open_.withColumn("few", F.col("few") | F.lit(depth >= LAST_DEPTH))
-        members = checkpointed(members.join(open_, "node"))
-        left, wide = members.agg(F.count(F.lit(1)), F.count(F.when(~F.col("few"), 1))).first()
-        if not left:
-            break
+        few = ((F.col("n") * F.col("n") - F.col("squares")) / 2 <= FEW * F.col("n")) | F.lit(depth >= LAST_DEPTH)
+        members = checkpointed(members.join(sums.where("squares < n * n").select("node", "main", few.alias("few")), "node"))
         minor = members.where("few and component <> main").select("node", F.col("id").alias("x"), F.col("component").alias("cx"))
         every = members.where("few").select("node", F.col("id").alias("y"), F.col("component").alias("cy"))
-        pairs = minor.join(every, "node").where("cx <> cy").select("x", "y")
-        large = members.where("not few")
-        pivot = large.groupBy("node").agg(F.min_by("id", F.xxhash64(F.lit(depth), F.col("id"))).alias("y"), F.min_by("component", F.xxhash64(F.lit(depth), F.col("id"))).alias("cy"))
-        pairs = pairs.unionByName(large.join(pivot, "node").where("component <> cy").select(F.col("id").alias("x"), "y"))
-        links = checkpointed(links.unionByName(test(_ordered(pairs, "x", "y"))).distinct())
-        if not wide:
-            label = components(links)
+        links.append(checkpointed(test(_ordered(minor.join(every, "node").where("cx <> cy"), "x", "y"))))
+        wide = members.where("not few")
+        if wide.isEmpty():
             break
-        nodes = checkpointed(_shared(children(large.join(sketch, "id").select("node", "id", "tokens"))))
+        nodes = checkpointed(_shared(children(wide.join(sketch, "id").select("node", "id", "tokens"))))
         depth += 2
+    label = components(_union(links))
     label = label.withColumnRenamed("node", "id")
     named = classes.select("set_a", "set_b", "id").join(label, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     out = signed.select(key, "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
