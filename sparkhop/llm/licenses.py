@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import smallest_hashes
+
 BUCKETS = 4096
 SAMPLE_LINES = 4000
 #: Weight of all ordinary training lines for each unit of licence lines.
@@ -193,9 +195,10 @@ class Model:
 def sample_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = SAMPLE_LINES) -> list[str]:
     """One line each of ``limit`` documents at most: those of the smallest
     hashes, the line by the hash, too."""
-    rows = docs.where(F.length(text) > 0).select(F.xxhash64(key).alias("h"), F.split(F.col(text), "\n").alias("lines"))
+    chosen = smallest_hashes(docs.select(key).where(F.col(key).isNotNull()), key, limit).distinct()
+    rows = docs.join(F.broadcast(chosen), key, "left_semi").where(F.length(text) > 0).select(F.xxhash64(key).alias("h"), F.split(F.col(text), "\n").alias("lines"))
     rows = rows.select("h", F.substring(F.col("lines")[F.pmod("h", F.size("lines")).cast("int")], 1, 1000).alias("line"))
-    return [r[1] for r in rows.orderBy("h", "line").limit(limit).collect()]
+    return [r[1] for r in sorted(rows.limit(limit).collect())]
 
 
 def _literal(values: np.ndarray) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import checkpointed
+from .common import checkpointed, smallest_hashes
 
 BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
@@ -144,5 +144,4 @@ def labelled_target(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS,
     """Documents labelled of good quality and not toxic: ``rows`` of them at
     most, by a hash of the key."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col(key).isNotNull()).select(key).distinct()
-    chosen = good.orderBy(F.xxhash64(F.col(key)), key).limit(rows)  # a report of fixed size
-    return docs.join(F.broadcast(chosen), key, "left_semi")
+    return docs.join(F.broadcast(smallest_hashes(good, key, rows)), key, "left_semi")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .common import smallest_hashes
 
 SAMPLE_ROWS = 400
 LEAST_LENGTH = 8
@@ -293,8 +294,10 @@ def _decoy(r: random.Random) -> str:
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text", seed: int = 11) -> Field:
     """A field from ``rows`` documents at most (smallest hashes of the key)."""
-    usable = docs.where(F.length(F.col(text)) > 0).select(F.xxhash64(F.col(key)).alias("h"), F.substring(F.col(text), 1, 4000).alias("t"))
-    sample = [r[1] for r in usable.orderBy("h", "t").limit(rows).collect()]
+    chosen = smallest_hashes(docs.select(key).where(F.col(key).isNotNull()), key, rows).distinct()
+    usable = docs.join(F.broadcast(chosen), key, "left_semi").where(F.length(F.col(text)) > 0)
+    held = usable.select(F.xxhash64(F.col(key)).alias("h"), F.substring(F.col(text), 1, 4000).alias("t")).limit(rows).collect()
+    sample = [r[1] for r in sorted(held)]  # the fit does not depend on the rows' order
     r, width = random.Random(seed), 64
     xs, ys = [], []
     for t in [*sample, *["Nothing to see here."] * max(0, 100 - len(sample))]:

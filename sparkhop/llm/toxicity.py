@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import checkpointed
+from .common import checkpointed, smallest_hashes
 
 SAMPLE_ROWS = 20_000
 LEXICON_WORDS = 200
@@ -246,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: str
     """A model from labelled rows whose crc32(key as text) mod 4 is not 2."""
     rest = F.crc32(F.col(key).cast("string")) % 4
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull() & (rest != 2)).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = usable.orderBy(F.xxhash64(F.col(key)), key).limit(rows)  # bounded, so it may be broadcast
+    chosen = smallest_hashes(usable, key, rows)  # bounded, so it may be broadcast
     sample = checkpointed(docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key).select(key, "text", "toxic"))
     model = Model(sorted({*INSULTS, *_toxic_words(sample)}))
     lexicon, person = model.lexicon, model.person
