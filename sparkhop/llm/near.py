@@ -42,7 +42,7 @@ TOKENS = 128
 TREES = 32
 DEPTH = 4
 #: Members up to which a node sends pairs, and up to which one task compares it.
-SMALL, MIDDLE = 8, 512
+SMALL, MIDDLE = 8, 2048
 #: Pairs of different components, per member, that are few.
 FEW = 4
 #: Depth from which large nodes are not branched further.
