@@ -101,18 +101,21 @@ def with_next(rows: DataFrame, key: str, columns: list[str], prefix: str = "next
     width = max(1, math.ceil((high - low + 1) * BLOCK_ROWS / max(1, n)))
     block = F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("bigint")
     order = Window.partitionBy("_block").orderBy(F.col(key).desc_nulls_last(), *columns)
-    at = rows.withColumn("_block", block).withColumn("_at", F.row_number().over(order))
+    # every branch below reads the rows in the same order, so one exchange serves
+    # all; a rank filter would get a plan, and a pass over the texts, of its own
+    at = rows.withColumn("_block", block)
     for c in columns:
         at = at.withColumn(prefix + c, F.lead(c).over(order))
-    at = at.withColumn("_last", F.lead(F.lit(True), 1, False).over(order))  # true: has a follower
-    heads = at.where(F.col("_at") == 1).select(F.col("_block").alias("_head"), *(F.col(c).alias(prefix + c) for c in columns))
+    at = at.withColumn("_more", F.lead(F.lit(True), 1, False).over(order)).withColumn("_head", ~F.lag(F.lit(True), 1, False).over(order))
+    firsts = at.where("_head")
+    heads = firsts.select(F.col("_block").alias("_next"), *(F.col(c).alias(prefix + c) for c in columns))
     # one row a block: which block follows
     following = Window.orderBy(F.col("_block").desc())
-    blocks = at.where(F.col("_at") == 1).select("_block")
-    blocks = blocks.withColumn("_head", F.coalesce(F.lead("_block").over(following), F.max("_block").over(Window.partitionBy())))
-    inner = at.where("_last").drop("_block", "_at", "_last")
-    last = at.where("not _last").drop(*(prefix + c for c in columns), "_at", "_last")
-    joined = last.join(blocks, "_block").join(heads, "_head").select(*inner.columns)
+    blocks = firsts.select("_block")
+    blocks = blocks.withColumn("_next", F.coalesce(F.lead("_block").over(following), F.max("_block").over(Window.partitionBy())))
+    inner = at.where("_more").drop("_block", "_more", "_head")
+    last = at.where("not _more").drop(*(prefix + c for c in columns), "_more", "_head")
+    joined = last.join(blocks, "_block").join(heads, "_next").select(*inner.columns)
     return inner.unionByName(joined)
 
 
