@@ -1,13 +1,15 @@
 """Quality rules: plain counts of a text, and bands of its n-gram perplexity.
 
-The language model is a modified Kneser-Ney model of ``ORDER`` symbols over an
-alphabet of ``BASE`` byte classes, counted by Spark over all documents.  It has
-at most BASE**ORDER (2.56 million) n-grams whatever the corpus, so its sorted
-hash arrays, 12 bytes an n-gram and order, may be broadcast.  A text's score is
-the mean negative log probability (log perplexity) of its symbols.  For each
-language the median and the quartiles of that score over all documents set a
-lower and an upper limit; shorter texts get wider bands, as their means vary
-more.  A language of fewer than ``LEAST_DOCS`` documents takes the band of all.
+Two modified Kneser-Ney models are counted over all documents.  The one of words
+(``wordmodel``) grows with the corpus and stays partitioned; each text is scored
+against all others, and the score has an upper limit only, as copies elsewhere
+make it small.  The one of spelling has ``ORDER`` symbols over an alphabet of
+``BASE`` byte classes, at most BASE**ORDER (2.56 million) n-grams whatever the
+corpus, so its sorted hash arrays, 12 bytes an n-gram and order, may be
+broadcast; its score has a lower and an upper limit.  A score is the mean
+negative log probability (log perplexity) of the text's words or symbols.  For
+each language the median and the quartiles of a score over all documents set
+the limits; shorter texts get wider bands, as their means vary more.  A language of fewer than ``LEAST_DOCS`` documents takes the band of all.
 
 Defined results: null and empty texts have no words, fail the base rules and
 have a null score; a null language is a language of its own; repeated rows give
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import wordmodel, words
 from .common import checkpointed
 
 ORDER, BASE = 4, 40
@@ -200,7 +202,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def score(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, lang, the counts, n_grams, log_perplexity) of each row."""
+    """(key, lang, the counts, n_grams, log_perplexity, text) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,38 +217,48 @@ def score(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str = "t
                 at = np.concatenate([[0], np.cumsum(each)])
                 value = -np.diff(run[at]) / np.maximum(each, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(each.astype(np.int64)), pa.array(value, mask=each == 0)],
-                    names=[key, "lang", *COUNTS, "n_grams", "log_perplexity"],
+                    [part.column(0), part.column(2), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(each.astype(np.int64)), pa.array(value, mask=each == 0), part.column(1)],
+                    names=[key, "lang", *COUNTS, "n_grams", "log_perplexity", text],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
     shaped = docs.select(F.col(key), F.col(text), F.col(lang).cast("string").alias("lang"))
-    return shaped.mapInArrow(rows, f"`{key}` {kind}, lang string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", n_grams bigint, log_perplexity double")
+    return shaped.mapInArrow(rows, f"`{key}` {kind}, lang string, " + ", ".join(f"{c} bigint" for c in COUNTS) + f", n_grams bigint, log_perplexity double, `{text}` string")
 
 
 def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row a document: the counts, base_failed, log_perplexity, the band's
-    limits, and kept."""
+    """One row a document: the counts, base_failed, both log perplexities, the
+    bands' limits, and kept."""
     counted = count(docs, text).toArrow()  # at most BASE ** ORDER rows
     model = KneserNey(counted.column("code").to_numpy(), counted.column("n").to_numpy())
-    scored = checkpointed(score(docs, model, key, text, lang))
-    x = F.col("log_perplexity")
-    sums = lambda rows: rows.agg(F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias("q"), F.percentile_approx("n_grams", 0.5).alias("n_mid"), F.count(x).alias("n_docs"))
+    scored = checkpointed(wordmodel.scored(score(docs, model, key, text, lang), key, text, docs.count()))
+    x, y = F.col("log_perplexity"), F.col("word_log_perplexity")
+
+    def sums(rows):
+        q = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)
+        return rows.agg(q(x).alias("q"), q(y).alias("word_q"), F.percentile_approx("n_grams", 0.5).alias("n_mid"), F.percentile_approx("n_words", 0.5).alias("words_mid"), F.count(x).alias("n_docs"))
+
     named = F.coalesce(F.col("lang"), F.lit("\0"))
     whole = sums(scored).first()
     mine = F.col("n_docs") >= LEAST_DOCS
-    q = F.when(mine, F.col("q")).otherwise(F.array(*(F.lit(float(v)) for v in (whole["q"] or [0.0, 0.0, 0.0]))))
+    own = lambda c: F.when(mine, F.col(c)).otherwise(F.array(*(F.lit(float(v)) for v in (whole[c] or [0.0, 0.0, 0.0]))))
+    q, wq = own("q"), own("word_q")
     bands = sums(scored.groupBy(named.alias("band"))).select(
         "band",
         q[1].alias("mid"),
         F.greatest((q[1] - q[0]) / QUARTILE, F.lit(LEAST_SIGMA)).alias("below"),
         F.greatest((q[2] - q[1]) / QUARTILE, F.lit(LEAST_SIGMA)).alias("above"),
+        wq[1].alias("word_mid"),
+        F.greatest((wq[2] - wq[1]) / QUARTILE, F.lit(LEAST_SIGMA)).alias("word_above"),
         F.when(mine, F.col("n_mid")).otherwise(F.lit(int(whole["n_mid"] or 1))).alias("n_mid"),
+        F.when(mine, F.col("words_mid")).otherwise(F.lit(int(whole["words_mid"] or 1))).alias("words_mid"),
     )
     salts = 32  # a language may hold most rows
     bands = bands.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = scored.withColumns({"band": named, "salt": F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")}).join(bands, ["band", "salt"], "left")
-    wide = WIDTH * F.sqrt(F.greatest(F.lit(1.0), F.col("n_mid") / F.greatest(F.col("n_grams"), F.lit(1))))
+    wide = lambda mid, n: WIDTH * F.sqrt(F.greatest(F.lit(1.0), F.col(mid) / F.greatest(F.col(n), F.lit(1))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    low, high = F.col("mid") - wide * F.col("below"), F.col("mid") + wide * F.col("above")
-    return joined.select(key, *COUNTS, failed.alias("base_failed"), (~failed & F.coalesce(x.between(low, high), F.lit(True))).alias("kept"), "lang", "log_perplexity", low.alias("lower"), high.alias("upper"))
+    low, high = F.col("mid") - wide("n_mid", "n_grams") * F.col("below"), F.col("mid") + wide("n_mid", "n_grams") * F.col("above")
+    word_high = F.col("word_mid") + wide("words_mid", "n_words") * F.col("word_above")
+    inside = F.coalesce(x.between(low, high), F.lit(True)) & F.coalesce(y <= word_high, F.lit(True))
+    return joined.select(key, *COUNTS, failed.alias("base_failed"), (~failed & inside).alias("kept"), "lang", "log_perplexity", low.alias("lower"), high.alias("upper"), "word_log_perplexity", word_high.alias("word_upper"))

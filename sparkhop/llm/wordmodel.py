@@ -1,0 +1,262 @@
+"""Scores of texts under a word bigram model of all other texts.
+
+The model is an interpolated modified Kneser-Ney model of words (64-bit hashes,
+the start of a text included), counted over all documents, with each text's own
+words taken out again exactly before it is scored; below it lie continuation
+counts and then even shares.  It grows with the input and is never gathered:
+documents are grouped in blocks by a hash of their key, each block sends its
+distinct bigrams to the shard of their history, packed in one row a shard, and
+shards reply with counts in the order of the request.  The number of shards
+follows the number of blocks.  Only counts of counts are summed over all shards.
+
+Defined results: null and empty texts have no words and a null score.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import words
+
+BLOCK_ROWS = 1000
+#: Blocks for each shard: what meets in a shard is about what this many blocks send.
+SHARD_BLOCKS = 16
+START = np.uint64(0x5354415254)
+PAIRS, WORDS, TALLY = 0, 1, 2  # kinds of replies
+
+SENT = "block bigint, shard bigint, words binary, targets binary, history binary, word binary, n binary"
+REPLY = "block bigint, kind int, shard bigint, a binary, b binary"
+_REPLY = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte, compressed; most of their bytes are 0."""
+    raw = np.ascontiguousarray(x, np.int64).reshape(-1).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    size = int.from_bytes(x[:8], "little")
+    raw = pa.decompress(x[8:], size, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
+class Block:
+    """The bigrams of a block's table, in the order in which they are sent."""
+
+    def __init__(self, table: pa.Table, shards: int):
+        hashes, docs, self.rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for batch in table.to_batches():
+            for part, data, offs in words.slices(batch):
+                w = words.Words(data, offs)
+                hashes.append(w.hashes()), docs.append(w.doc + self.rows)
+                self.rows += part.num_rows
+        self.doc = np.concatenate(docs)
+        vocab, word = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.vocab = np.append(vocab, START)
+        new = np.ones(len(word), bool)
+        new[1:] = self.doc[1:] != self.doc[:-1]
+        history = np.full(len(word), len(vocab))
+        history[1:] = np.where(new[1:], len(vocab), word[:-1])
+        size = len(self.vocab)
+        pair, self.pair_of, self.n = np.unique(history * size + word, return_inverse=True, return_counts=True)
+        self.history, self.word = pair // size, pair % size
+        shard = (self.vocab % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        self.words_of = np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))
+        of = shard[self.history]
+        order = np.argsort(of, kind="stable")
+        self.pairs_of = np.split(order, np.searchsorted(of[order], np.arange(1, shards)))
+
+
+def _send(shards: int):
+    def send(table: pa.Table) -> pa.Table:
+        b = Block(table, shards)
+        place = np.zeros(len(b.vocab), np.int32)
+        rows = []
+        for s, (w, p) in enumerate(zip(b.words_of, b.pairs_of)):
+            if len(w):
+                place[w] = np.arange(len(w))
+                target, x = np.unique(b.word[p], return_inverse=True)
+                rows.append((s, b.vocab[w].tobytes(), b.vocab[target].tobytes(), _pack(place[b.history[p]]), _pack(x), _pack(b.n[p])))
+        s, w, t, h, x, n = zip(*rows)
+        block = pa.array([table.column("block")[0].as_py()] * len(rows), pa.int64())
+        return pa.table([block, pa.array(s, pa.int64()), *(pa.array(c, pa.binary()) for c in (w, t, h, x, n))], names=["block", "shard", "words", "targets", "history", "word", "n"])
+
+    return send
+
+
+def _hashes(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _numbers(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [_unpack(x) for x in column.to_pylist()]
+
+
+class Shard:
+    """All bigrams whose history lies in a shard, and their counts."""
+
+    def __init__(self, table: pa.Table):
+        self.asked = _hashes(table.column("words"))
+        at = _numbers(table.column("history"))
+        word = [t[i] for t, i in zip(_hashes(table.column("targets")), _numbers(table.column("word")))]
+        self.sizes = [len(w) for w in word]
+        history = np.concatenate([w[i] for w, i in zip(self.asked, at)])
+        word, n = np.concatenate(word), np.concatenate(_numbers(table.column("n")))
+        _, first, self.of = np.unique(words.mix(words.mix(history) + word), return_index=True, return_inverse=True)
+        self.count = np.bincount(self.of, weights=n, minlength=len(first)).astype(np.int64)
+        self.history, self.word = history[first], word[first]
+
+
+def _counts_of_counts(n: np.ndarray) -> pa.Table:
+    seen = [int((n == i).sum()) for i in (1, 2, 3, 4)]
+    return pa.table([[x] for x in (*seen, int(n.sum()), len(n))], names=["n1", "n2", "n3", "n4", "total", "kinds"])
+
+
+def _reply_pairs(table: pa.Table) -> pa.Table:
+    """For each request: the count of each bigram; for each word as a history
+    its count, and how many words follow it once, twice and more often."""
+    s = Shard(table)
+    held, of = np.unique(s.history, return_inverse=True)
+    stats = np.zeros((len(held) + 1, 4), np.int64)
+    stats[:-1, 0] = np.bincount(of, weights=s.count, minlength=len(held))
+    for i in (1, 2, 3):
+        stats[:-1, i] = np.bincount(of, weights=np.minimum(s.count, 3) == i, minlength=len(held))
+    rows, at = [], 0
+    for block, shard, asked, size in zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), s.asked, s.sizes):
+        i = np.minimum(np.searchsorted(held, asked), max(0, len(held) - 1))
+        i = np.where(held[i] == asked, i, len(held)) if len(held) else np.zeros(len(asked), np.int64)
+        rows.append((block, PAIRS, shard, _pack(s.count[s.of[at : at + size]]), _pack(stats[i])))
+        at += size
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _REPLY)], schema=_REPLY)
+
+
+def _continue(shards: int):
+    def send(table: pa.Table) -> pa.Table:
+        """(shard of the word, words, after how many histories of this shard)."""
+        word, n = np.unique(Shard(table).word, return_counts=True)
+        shard = (word % np.uint64(shards)).astype(np.int64)
+        rows = [(i, word[shard == i].tobytes(), _pack(n[shard == i])) for i in np.unique(shard).tolist()]
+        s, w, k = zip(*rows) if rows else ([], [], [])
+        return pa.table([pa.array(s, pa.int64()), pa.array(w, pa.binary()), pa.array(k, pa.binary())], names=["shard", "words", "k"])
+
+    return send
+
+
+def _continued(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted words of a shard, and how many histories each follows."""
+    if not table.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    word, of = np.unique(np.concatenate(_hashes(table.column("words"))), return_inverse=True)
+    return word, np.bincount(of, weights=np.concatenate(_numbers(table.column("k"))), minlength=len(word)).astype(np.int64)
+
+
+def _reply_words(table: pa.Table, continued: pa.Table) -> pa.Table:
+    held, n = _continued(continued)
+    n = np.append(n, 0)
+    rows = []
+    if table.num_rows:
+        for block, shard, asked in zip(table.column("block").to_pylist(), table.column("shard").to_pylist(), _hashes(table.column("words"))):
+            i = np.minimum(np.searchsorted(held, asked), max(0, len(held) - 1))
+            i = np.where(held[i] == asked, i, len(held)) if len(held) else np.zeros(len(asked), np.int64)
+            rows.append((block, WORDS, shard, _pack(n[i]), b""))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _REPLY)], schema=_REPLY) if rows else _REPLY.empty_table()
+
+
+def _discounts(seen: list[int]) -> np.ndarray:
+    n = [max(1, x) for x in seen]
+    y = n[0] / (n[0] + 2 * n[1])
+    return np.clip([0, *(i - (i + 1) * y * n[i] / n[i - 1] for i in (1, 2, 3))], [0, 0.1, 0.1, 0.1], [0, 0.9, 1.9, 2.9])
+
+
+def _without(value: np.ndarray, of: np.ndarray, less: np.ndarray, size: int) -> np.ndarray:
+    return value - np.bincount(of, weights=less, minlength=size).astype(np.int64)
+
+
+def log_p(b: Block, pairs: np.ndarray, stats: np.ndarray, after: np.ndarray, tally: np.ndarray) -> np.ndarray:
+    """Log probability of each word of a block in the model of all other texts:
+    pairs: count of each bigram; stats, after: of each word as it is replied."""
+    top, low = _discounts(tally[0][:4]), _discounts(tally[1][:4])
+    size = len(b.vocab)
+    # distinct bigrams, histories and words of each text; what is left without it
+    bigram, of, own = np.unique(b.doc * len(pairs) + b.pair_of, return_inverse=True, return_counts=True)
+    doc, p = bigram // max(1, len(pairs)), bigram % max(1, len(pairs))
+    count = pairs[p]
+    left = count - own
+    gone = left == 0
+    h, h_of = np.unique(doc * size + b.history[p], return_inverse=True)
+    s = stats[h % size]
+    total = _without(s[:, 0], h_of, own, len(h))
+    more = np.zeros(len(h))
+    for i in (1, 2, 3):
+        more += top[i] * _without(s[:, i], h_of, (np.minimum(count, 3) == i) * 1 - (np.minimum(left, 3) == i), len(h))
+    w, w_of = np.unique(doc * size + b.word[p], return_inverse=True)
+    was = after[w % size]
+    still = _without(was, w_of, gone, len(w))
+    w_doc = w // size
+    kinds = _without(np.full(b.rows, tally[1][4]), doc, gone, b.rows)
+    even = np.zeros(b.rows)
+    three = tally[1][5] - tally[1][0] - tally[1][1]
+    for i, whole in ((1, tally[1][0]), (2, tally[1][1]), (3, three)):
+        even += low[i] * _without(np.full(b.rows, whole), w_doc, (np.minimum(was, 3) == i) * 1 - (np.minimum(still, 3) == i), b.rows)
+    some = np.maximum(kinds, 1)
+    share = 1.0 / (tally[1][5] + 1)
+    below = np.where(kinds[w_doc] > 0, (still - low[np.minimum(still, 3)] + even[w_doc] * share) / some[w_doc], share)
+    t = np.maximum(total, 1)[h_of]
+    value = np.where(total[h_of] > 0, (left - top[np.minimum(left, 3)] + more[h_of] * below[w_of]) / t, below[w_of])
+    return np.log(value)[of]
+
+
+def _score(shards: int, key: str):
+    def score(table: pa.Table, replies: pa.Table) -> pa.Table:
+        b = Block(table, shards)
+        pairs, stats, after = np.zeros(len(b.n), np.int64), np.zeros((len(b.vocab), 4), np.int64), np.zeros(len(b.vocab), np.int64)
+        tally = np.zeros((2, 6), np.int64)
+        for row in replies.select(["kind", "shard", "a", "b"]).to_pylist():
+            a, s = row["a"], row["shard"]
+            if row["kind"] == TALLY:
+                tally[s] = [int(x) for x in a.split(b",")]
+            elif row["kind"] == WORDS:
+                after[b.words_of[s]] = _unpack(a)
+            else:
+                pairs[b.pairs_of[s]] = _unpack(a)
+                stats[b.words_of[s]] = _unpack(row["b"]).reshape(-1, 4)
+        n = np.bincount(b.doc, minlength=b.rows)
+        total = np.bincount(b.doc, weights=-log_p(b, pairs, stats, after, tally), minlength=b.rows)
+        out = table.drop_columns(["text", "block"])
+        return out.append_column("word_log_perplexity", pa.array(total / np.maximum(n, 1), mask=n == 0))
+
+    return score
+
+
+def scored(docs: DataFrame, key: str, text: str, n: int | None = None) -> DataFrame:
+    """All columns but the text, and word_log_perplexity: the mean negative log
+    probability of the text's words in the model of all other texts.  ``n``: the
+    number of rows, if it is known."""
+    blocks = max(1, -(-(docs.count() if n is None else n) // BLOCK_ROWS))
+    shards = max(1, -(-blocks // SHARD_BLOCKS))
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.select(*rest, F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
+    sent = rows.groupBy("block").applyInArrow(_send(shards), SENT)
+    by_shard = sent.groupBy("shard")
+    tally = "n1 bigint, n2 bigint, n3 bigint, n4 bigint, total bigint, kinds bigint"
+    continued = by_shard.applyInArrow(_continue(shards), "shard bigint, words binary, k binary")
+    levels = [by_shard.applyInArrow(lambda t: _counts_of_counts(Shard(t).count), tally), continued.groupBy("shard").applyInArrow(lambda t: _counts_of_counts(_continued(t)[1]), tally)]
+    replies = by_shard.applyInArrow(_reply_pairs, REPLY).unionByName(by_shard.cogroup(continued.groupBy("shard")).applyInArrow(_reply_words, REPLY))
+    every = docs.sparkSession.range(blocks).withColumnRenamed("id", "block")
+    for k, level in enumerate(levels):
+        sums = level.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("string").alias(c) for c in level.columns))
+        one = sums.select(F.lit(TALLY).alias("kind"), F.lit(k).cast("bigint").alias("shard"), F.concat_ws(",", *level.columns).cast("binary").alias("a"), F.lit(b"").alias("b"))
+        replies = replies.unionByName(every.crossJoin(F.broadcast(one)))
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
+
+    def last(table: pa.Table, reply: pa.Table) -> pa.Table:
+        return _score(shards, key)(table, reply) if table.num_rows else empty
+
+    schema = f"{fields}, word_log_perplexity double"
+    empty = docs.sparkSession.createDataFrame([], schema).toArrow()
+    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(last, schema)

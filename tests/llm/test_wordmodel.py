@@ -1,0 +1,69 @@
+import math
+import random
+from collections import Counter
+
+import pytest
+
+from sparkhop.llm import quality, wordmodel
+from tests.llm.conftest import prose
+
+
+def discounts(counts):
+    n = [max(1, sum(c == i for c in counts)) for i in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    raw = [i - (i + 1) * y * n[i] / n[i - 1] for i in (1, 2, 3)]
+    return [0.0, *(min(max(d, 0.1), top) for d, top in zip(raw, (0.9, 1.9, 2.9)))]
+
+
+def plain(texts, at):
+    """The score of one text by counting all the others anew."""
+    pairs = lambda ts: Counter(p for t in ts for p in zip([None, *(t or "").split()], (t or "").split()))
+    every, rest = pairs(texts), pairs(t for i, t in enumerate(texts) if i != at)
+    top, low = discounts(every.values()), discounts(Counter(w for _, w in every).values())
+    after, size = Counter(w for _, w in rest), len({w for _, w in every}) + 1
+    kinds, total = len(rest), 0.0
+    for h, w in zip([None, *texts[at].split()], texts[at].split()):
+        p = 1 / size
+        if kinds:
+            p = (after[w] - low[min(after[w], 3)] + sum(low[min(n, 3)] for n in after.values()) * p) / kinds
+        follow = [n for (a, _), n in rest.items() if a == h]
+        if follow:
+            c = rest[h, w]
+            p = (c - top[min(c, 3)] + sum(top[min(n, 3)] for n in follow) * p) / sum(follow)
+        total -= math.log(p)
+    return total / len(texts[at].split())
+
+
+@pytest.mark.parametrize("block_rows, shard_blocks", [(1000, 16), (4, 1)])
+def test_scores_match_a_plain_count(spark, monkeypatch, block_rows, shard_blocks):
+    monkeypatch.setattr(wordmodel, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(wordmodel, "SHARD_BLOCKS", shard_blocks)
+    texts = [prose(i, 40) for i in range(18)] + ["x x x x", "alone", "", " \n", None, prose(3, 40)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.word_log_perplexity for r in wordmodel.scored(d, "doc_id", "text").collect()}
+    assert set(got) == set(range(len(texts)))
+    for i, t in enumerate(texts):
+        if (t or "").split():
+            assert math.isclose(got[i], plain(texts, i), rel_tol=1e-9), i
+        else:
+            assert got[i] is None
+
+
+def test_senseless_order_is_rejected(spark):
+    r = random.Random(5)
+    nouns = [f"{a}{b}" for a in ("sto", "riv", "gar", "lan", "mar", "bri") for b in ("ne", "er", "den", "tern", "ket")]
+    follow = {w: r.sample(nouns, 5) for w in nouns}
+
+    def sense(n):
+        w = [r.choice(nouns)]
+        while len(w) < n:
+            w.append(r.choice(follow[w[-1]]))
+        return w
+
+    rows = [(i, " ".join(sense(200)), "en") for i in range(200)]
+    mixed = [sense(200) for _ in range(6)]
+    for w in mixed:
+        r.shuffle(w)
+    rows += [(1000 + i, " ".join(w), "en") for i, w in enumerate(mixed)]
+    got = {r.doc_id: r for r in quality.rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert sum(got[i].kept for i in range(200)) >= 198 and not any(got[i].kept for i in got if i >= 1000)
