@@ -1,9 +1,11 @@
 """I-Match document fingerprints, in DataFrame functions only.
 
 A text's terms are its lower-cased words.  Document frequencies are counted over
-all documents in ``BUCKETS`` hash buckets, so the lexicon, the terms whose
-inverse document frequency lies in a band, is a bitmap of fixed size (32 KB)
-however large the vocabulary is.  The distinct terms in the lexicon are sorted
+all documents for each term (64-bit hash).  The lexicon is the terms whose
+inverse document frequency lies in a band; as both ends of the band are shares
+of the documents (the lower one ``LEAST_DOCS`` documents at least), it has at
+most the mean number of distinct terms of a text divided by ``LEAST_SHARE``
+terms, however large the vocabulary is.  The distinct terms in the lexicon are sorted
 and hashed once whole and once for each randomised lexicon subset: ``GROUPS``
 nested chains of subsets that keep a quarter, a sixteenth and a sixty-fourth of
 the terms.  Large subsets only agree on equal texts, small ones also on texts
@@ -19,14 +21,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LOG_BUCKETS = 18
-BUCKETS = 1 << LOG_BUCKETS
-#: Lexicon: terms (buckets) that occur in at most this share of the documents,
-#: and in at least this many.
+#: Lexicon: terms that occur in at most this share of the documents, and in at
+#: least this many and this share of them.
 MOST_SHARE, LEAST_DOCS = 0.1, 2
+LEAST_SHARE = 1e-3
 GROUPS = 4
 SCALES = (4, 16, 64)
 #: Neighbouring documents that are sorted together.
@@ -39,31 +41,36 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(listed, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text: str = "text") -> list[int]:
-    """The lexicon's bitmap: BUCKETS / 64 words of 64 bits."""
+def lexicon(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The hashes of the lexicon's terms."""
     n = docs.count()
-    bucket = F.transform(_terms(F.col(text)), lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    df = docs.select(F.explode(F.array_distinct(bucket)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("df"))
+    df = docs.select(F.explode(_terms(F.col(text))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(float(max(n, 1))) / F.col("df"))
-    kept = df.where((F.col("df") >= min(LEAST_DOCS, max(n, 1))) & (idf >= math.log(1 / MOST_SHARE)))
-    words = kept.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("bits"))
-    out = [0] * (BUCKETS >> 6)
-    for w, bits in words.collect():  # at most BUCKETS / 64 rows
-        out[w] = bits
-    return out
+    least = max(min(LEAST_DOCS, max(n, 1)), math.ceil(LEAST_SHARE * n))
+    kept = df.where((F.col("df") >= least) & (idf >= math.log(1 / MOST_SHARE)))
+    return kept.select("h").toArrow().column("h").to_numpy()
+
+
+def _literal(values: np.ndarray, kind: str) -> Column:
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")  # folded to one literal
 
 
 def _member(group: int, scale: int):
     return lambda h: F.xxhash64(F.lit(group), h).bitwiseAND(F.lit(scale - 1)) == 0
 
 
-def fingerprint(rows: DataFrame, text: str, bitmap: list[int], out: str) -> DataFrame:
+def fingerprint(rows: DataFrame, text: str, held: np.ndarray, out: str) -> DataFrame:
     """Adds ``out``: the parts of each text's fingerprint, null where empty."""
-    held = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")  # folded to one literal
+    # a hash table of about four terms a place: by their low bits, and where each place starts
+    size = 1 << max(0, len(held).bit_length() - 2)
+    low = held & (size - 1)
+    start = _literal(np.searchsorted(np.sort(low), np.arange(size + 1)), "int")
+    terms = _literal(held[np.argsort(low, kind="stable")], "bigint") if len(held) else F.array().cast("array<bigint>")
 
     def inside(h: Column) -> Column:
-        word = F.element_at(held, F.shiftright(h.bitwiseAND(F.lit(BUCKETS - 1)), 6).cast("int") + 1)
-        return F.call_function("shiftrightunsigned", word, h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        at = h.bitwiseAND(F.lit(size - 1)).cast("int") + 1
+        first = F.element_at(start, at)
+        return F.array_contains(F.slice(terms, first + 1, F.element_at(start, at + 1) - first), h)
 
     all_, columns = f"{out}_terms", []
     rows = rows.withColumn(all_, F.array_sort(F.filter(_terms(F.coalesce(F.col(text), F.lit(""))), inside)))
@@ -121,13 +128,13 @@ def with_next(rows: DataFrame, key: str, columns: list[str], prefix: str = "next
 
 def query(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's fingerprint, its edited text's, and likenesses."""
-    bitmap = lexicon(docs, text)
+    held = lexicon(docs, text)
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(fingerprint(rows, "text", bitmap, "parts"), key, ["text", "parts"])
+    rows = with_next(fingerprint(rows, "text", held, "parts"), key, ["text", "parts"])
     n = F.char_length("text")
     rows = rows.withColumn("n_chars", n.cast("bigint")).withColumn("_cut", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars) - _cut)"), F.expr("substring(next_text, 1, _cut)")))
-    rows = fingerprint(rows.select(key, "n_chars", "edited", "parts", "next_parts"), "edited", bitmap, "edited_parts")
+    rows = fingerprint(rows.select(key, "n_chars", "edited", "parts", "next_parts"), "edited", held, "edited_parts")
     return rows.select(
         key,
         "n_chars",

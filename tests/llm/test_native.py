@@ -37,6 +37,22 @@ def test_followers_across_blocks(spark, monkeypatch, block):
     assert got == {k: f"t{keys[i - 1]}" for i, k in enumerate(keys)}
 
 
+@pytest.mark.parametrize("share, least", [(1e-4, 2), (0.02, 8)])
+def test_lexicon_has_the_terms_of_the_band_only(spark, monkeypatch, share, least):
+    # a large vocabulary of words of one document, more than there were buckets for
+    monkeypatch.setattr(imatch, "LEAST_SHARE", share)
+    rows = [(i, " ".join([f"only{i}x{k}" for k in range(1500)] + [f"pair{i // 2}", f"ten{i // 10}", "all"])) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    held = imatch.lexicon(d)
+    names = [f"pair{i}" for i in range(200)] * (least <= 2) + [f"ten{i}" for i in range(40)]
+    want = {r[0] for r in spark.createDataFrame([(w,) for w in names], "w string").selectExpr("xxhash64(w)").collect()}
+    assert len(held) == len(want) and set(held.tolist()) == want
+    # texts that differ in words of their own only have the same fingerprint
+    rows = spark.createDataFrame([(1, "pair3 ten7 typo1"), (2, "ten7 other pair3"), (3, "typo2")], "doc_id bigint, text string")
+    got = {r.doc_id: list(r.parts) for r in imatch.fingerprint(rows, "text", held, "parts").collect()}
+    assert got[1] == got[2] and got[1][0] is not None and set(got[3]) == {None}
+
+
 def test_plans_stay_in_the_jvm(docs):
     plan = imatch.query(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
