@@ -1,4 +1,5 @@
-"""Graph analytics on top of the traversal: scores, weighted paths, components."""
+"""Graph analytics on top of the traversal: scores, weighted paths, two-edge
+patterns, components."""
 
 from __future__ import annotations
 
@@ -34,6 +35,13 @@ def shortest_paths(graph: Graph, start: int, max_rounds: int = 1000) -> DataFram
     return best
 
 
+def two_hops(graph: Graph) -> DataFrame:
+    """(a, b, c) of every two-edge pattern a -> b -> c; parallel edges match
+    each on their own."""
+    e = graph.merged()
+    return e.select(F.col("source").alias("a"), F.col("target").alias("b")).join(e.select(F.col("source").alias("b"), F.col("target").alias("c")), "b").select("a", "b", "c")
+
+
 def path_to(paths: DataFrame, node: int) -> list[int]:
     """The node list from the start to ``node``; one lookup a hop."""
     out: list[int] = []
