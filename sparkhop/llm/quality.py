@@ -9,7 +9,9 @@ corpus, so its sorted hash arrays, 12 bytes an n-gram and order, may be
 broadcast; its score has a lower and an upper limit.  A score is the mean
 negative log probability (log perplexity) of the text's words or symbols.  For
 each language the median and the quartiles of a score over all documents set
-the limits; shorter texts get wider bands, as their means vary more.  A language of fewer than ``LEAST_DOCS`` documents takes the band of all.
+the limits; shorter texts get wider bands, as their means vary more.  A language
+always has its own median; its spread is the mean of its own and that of all
+languages, weighted by its documents and ``LEAST_DOCS``.
 
 Defined results: null and empty texts have no words, fail the base rules and
 have a null score; a null language is a language of its own; repeated rows give
@@ -32,7 +34,9 @@ ORDER, BASE = 4, 40
 #: Half widths of a band, in standard deviations estimated from the quartiles.
 WIDTH = 4.0
 LEAST_SIGMA = 0.01
+#: Weight of the spread of all languages in a language's, in documents.
 LEAST_DOCS = 100
+SPREADS = ("below", "above", "word_above")
 QUARTILE = 0.6745
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
@@ -239,20 +243,20 @@ def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return rows.agg(q(x).alias("q"), q(y).alias("word_q"), F.percentile_approx("n_grams", 0.5).alias("n_mid"), F.percentile_approx("n_words", 0.5).alias("words_mid"), F.count(x).alias("n_docs"))
 
     named = F.coalesce(F.col("lang"), F.lit("\0"))
-    whole = sums(scored).first()
-    mine = F.col("n_docs") >= LEAST_DOCS
-    own = lambda c: F.when(mine, F.col(c)).otherwise(F.array(*(F.lit(float(v)) for v in (whole[c] or [0.0, 0.0, 0.0]))))
-    q, wq = own("q"), own("word_q")
-    bands = sums(scored.groupBy(named.alias("band"))).select(
+    bands = sums(scored.groupBy(named.alias("band")))
+    bands = bands.select(
         "band",
-        q[1].alias("mid"),
-        F.greatest((q[1] - q[0]) / QUARTILE, F.lit(LEAST_SIGMA)).alias("below"),
-        F.greatest((q[2] - q[1]) / QUARTILE, F.lit(LEAST_SIGMA)).alias("above"),
-        wq[1].alias("word_mid"),
-        F.greatest((wq[2] - wq[1]) / QUARTILE, F.lit(LEAST_SIGMA)).alias("word_above"),
-        F.when(mine, F.col("n_mid")).otherwise(F.lit(int(whole["n_mid"] or 1))).alias("n_mid"),
-        F.when(mine, F.col("words_mid")).otherwise(F.lit(int(whole["words_mid"] or 1))).alias("words_mid"),
+        "n_docs",
+        "n_mid",
+        "words_mid",
+        F.col("q")[1].alias("mid"),
+        F.col("word_q")[1].alias("word_mid"),
+        *(F.coalesce(c / QUARTILE, F.lit(0.0)).alias(f"own_{name}") for name, c in (("below", F.col("q")[1] - F.col("q")[0]), ("above", F.col("q")[2] - F.col("q")[1]), ("word_above", F.col("word_q")[2] - F.col("word_q")[1]))),
     )
+    # spreads inside the languages, a mean over all documents
+    spreads = bands.agg(*((F.sum(F.col("n_docs") * F.col(f"own_{c}")) / F.greatest(F.sum("n_docs"), F.lit(1))).alias(f"all_{c}") for c in SPREADS))
+    shrunk = lambda c: F.greatest((F.col("n_docs") * F.col(f"own_{c}") + LEAST_DOCS * F.col(f"all_{c}")) / (F.col("n_docs") + LEAST_DOCS), F.lit(LEAST_SIGMA))
+    bands = bands.crossJoin(F.broadcast(spreads)).select("band", "mid", "word_mid", "n_mid", "words_mid", *(shrunk(c).alias(c) for c in SPREADS))
     salts = 32  # a language may hold most rows
     bands = bands.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     joined = scored.withColumns({"band": named, "salt": F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")}).join(bands, ["band", "salt"], "left")

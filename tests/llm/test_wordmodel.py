@@ -67,3 +67,11 @@ def test_senseless_order_is_rejected(spark):
     rows += [(1000 + i, " ".join(w), "en") for i, w in enumerate(mixed)]
     got = {r.doc_id: r for r in quality.rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
     assert sum(got[i].kept for i in range(200)) >= 198 and not any(got[i].kept for i in got if i >= 1000)
+
+
+@pytest.mark.parametrize("few", [40, 99, 100])
+def test_a_small_language_has_its_own_band_at_any_size(spark, few):
+    rows = [(i, prose(i, 200), "en") for i in range(300)]
+    rows += [(1000 + i, "".join(chr(0x430 + ord(c) - 97) if "a" <= c <= "z" else c for c in prose(7000 + i, 200)), "xx") for i in range(few)]
+    got = {r.doc_id: r.kept for r in quality.rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert sum(got[i] for i in range(300)) >= 298 and sum(v for i, v in got.items() if i >= 1000) >= few - 1
