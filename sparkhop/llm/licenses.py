@@ -1,13 +1,17 @@
 """Licence scans, in DataFrame functions only.
 
-Each line of a text is a paragraph.  A logistic regression on hashed word
+Each line of a text is a paragraph, and so is each run of up to ``RUN_LINES``
+lines without a blank one between, for notices that are wrapped.  A logistic regression on hashed word
 unigrams and bigrams says whether it speaks of a licence; a multinomial one with
 a class for unknown licences names the family.  Both are sparse, trained here on
 variants of the templates below, on made-up licences for the unknown class, and
 on at most ``SAMPLE_LINES`` lines of the corpus as ordinary text; the second is
 calibrated by a temperature fitted on held-out variants.  A family counts only
 if its calibrated probability reaches ``SURE`` and the line holds most word
-bigrams of one of its templates; otherwise the line counts as unknown.
+bigrams of one of its templates; otherwise the line counts as unknown.  A run
+counts only if its first and its last line each add bigrams of such a template;
+its lines then are of its family, unless one is named by itself or by a shorter
+run.
 
 Training runs on the driver over a bounded sample.  Scoring is one pass of
 column expressions with the weights as literals of fixed size.
@@ -34,6 +38,9 @@ ORDINARY = 4.0
 GATE = 0.5
 SURE = 0.5
 CONFIRM = 0.6
+RUN_LINES = 5
+#: Words that say little; texts are searched for them only where others do not do.
+COMMON = set("0 1 2 3 4 a and any are as at be by conditions copy domain extent files following for found free from general in into is it kind march may modify not of on or person possible provided public released rights source subject terms that the this to under version with without work you".split())
 SCALE = 1000  # weights are kept in thousandths
 
 #: Well-known sentences of public licences, by family.  Fixed values.
@@ -210,10 +217,37 @@ def _sum(at: Column, weights: Column) -> Column:
     return F.aggregate(at, F.lit(0).cast("bigint"), lambda acc, i: acc + F.element_at(weights, i + 1))
 
 
+def cues() -> list[str]:
+    """Words of which a text that holds any template has at least one: long words
+    of each template, as many as leave too few bigrams to confirm it."""
+    out: set[str] = set()
+    for t in (t for templates in TEMPLATES.values() for t in templates):
+        want, w = _wanted(t), sorted(set(_words(t)), key=lambda x: (x not in out, x in COMMON, -len(x), x))
+        while sum(not out & set(p.split()) for p in want) >= CONFIRM * len(want):
+            out.add(w.pop(0))
+    return sorted(out)
+
+
+def _wanted(template: str) -> list[str]:
+    w = _words(template)
+    return sorted({f"{a} {b}" for a, b in zip(w, w[1:])} or set(w))
+
+
+def _pairs(ws: Column) -> Column:
+    pairs = F.when(F.size(ws) > 1, F.transform(F.sequence(F.lit(2), F.size(ws)), lambda i: F.concat_ws(" ", ws[i - 2], ws[i - 1]))).otherwise(ws)
+    return F.array_distinct(pairs)
+
+
 def lines(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line, paragraph, family, probability) of each line that speaks of
-    a licence; ``line`` counts from 0."""
-    rows = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "paragraph"))
+    a licence; ``line`` counts from 0, ``paragraph`` is the line or the run that
+    it is judged by."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(key, F.xxhash64(whole).alias("copy"), F.split(whole, "\n").alias("all"), F.when(F.lower(whole).rlike(f"(?<![a-z0-9])({'|'.join(cues())})(?![a-z0-9])"), F.lit(RUN_LINES)).otherwise(F.lit(1)).alias("most"))
+    rows = rows.select(key, "copy", F.posexplode(F.transform("all", lambda _, i: F.slice(F.col("all"), i + 1, F.col("most")))).alias("line", "next"))
+    rows = rows.select(key, "copy", "line", "next", F.explode(F.sequence(F.lit(1), F.size("next"))).alias("n"))
+    rows = rows.select(key, "copy", "line", "n", F.slice("next", F.lit(1), F.col("n")).alias("run"))
+    rows = rows.where((F.col("n") == 1) | ~F.exists("run", lambda x: ~x.rlike("(?i)[a-z0-9]"))).withColumn("paragraph", F.array_join("run", "\n"))
     # explode(array(x)) computes x once: filters are not moved below it with a copy of x
     once = lambda name, c: rows.select("*", F.explode(F.array(c)).alias(name))
     rows = once("ws", F.filter(F.split(F.lower("paragraph"), _SPLIT), lambda w: w != "")).where(F.size("ws") > 0)
@@ -228,22 +262,29 @@ def lines(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     rows = rows.withColumn("probability", F.lit(1.0) / sum((F.exp(c - F.col("top")) for c in z), F.lit(0.0)))
     guess = F.coalesce(*(F.when(c == F.col("top"), F.lit(name)) for c, name in zip(z, CLASSES)))
     rows = rows.withColumn("guess", guess)
-    pairs = F.when(F.size("ws") > 1, F.transform(F.sequence(F.lit(2), F.size("ws")), lambda i: F.concat_ws(" ", F.col("ws")[i - 2], F.col("ws")[i - 1]))).otherwise(F.col("ws"))
-    rows = rows.withColumn("pairs", F.array_distinct(pairs))
+    split = lambda run: F.filter(F.split(F.lower(F.array_join(run, "\n")), _SPLIT), lambda w: w != "")
+    rows = once("pairs", _pairs(F.col("ws")))
+    rows = once("start_pairs", _pairs(split(F.slice("run", F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))))))
+    rows = once("end_pairs", _pairs(split(F.slice("run", F.lit(2), F.greatest(F.col("n") - 1, F.lit(1))))))
 
-    def holds(template: str) -> Column:
-        w = _words(template)
-        want = sorted({f"{a} {b}" for a, b in zip(w, w[1:])} or set(w))
-        return F.size(F.array_intersect(F.col("pairs"), F.array(*map(F.lit, want)))) >= CONFIRM * len(want)
+    def held(pairs: str, template: str) -> Column:
+        return F.size(F.array_intersect(F.col(pairs), F.array(*map(F.lit, _wanted(template)))))
 
     confirmed = F.lit(False)
     for name, templates in TEMPLATES.items():
-        some = holds(templates[0])
-        for t in templates[1:]:
-            some = some | holds(t)
+        some = F.lit(False)
+        for t in templates:
+            n = held("pairs", t)
+            some = some | (n >= CONFIRM * len(_wanted(t))) & ((F.col("n") == 1) | (held("start_pairs", t) < n) & (held("end_pairs", t) < n))
         confirmed = confirmed | (F.col("guess") == name) & some
     family = F.when((F.col("probability") >= SURE) & confirmed, F.col("guess")).otherwise(F.lit(UNKNOWN))
-    return rows.select(key, "line", "paragraph", family.alias("family"), "probability")
+    rows = rows.withColumn("family", family).where((F.col("n") == 1) | (F.col("family") != UNKNOWN))
+    # each line by the shortest paragraph that names it; equal rows count on their own
+    rank = F.when(F.col("family") == UNKNOWN, F.lit(RUN_LINES + 1)).otherwise(F.col("n"))
+    judged = rows.select(key, "copy", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("n") - 1)).alias("line"), rank.alias("rank"), F.col("line").alias("start"), "paragraph", "family", "probability")
+    judged = judged.groupBy(*judged.columns).agg(F.count(F.lit(1)).alias("copies"))
+    best = judged.groupBy(key, "copy", "line").agg(F.min(F.struct("rank", "start", "paragraph", "family", "probability", "copies")).alias("best"))
+    return best.select(key, "line", "best.paragraph", "best.family", "best.probability", F.explode(F.sequence(F.lit(1), F.col("best.copies"))).alias("_")).drop("_")
 
 
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -101,3 +101,24 @@ def test_license_query_on_any_table(docs, empty, texts, model):
     got = licenses.scan(docs, model).collect()
     assert {r.doc_id for r in got} == set(texts) and sum(r.n_license_lines for r in got) == 0
     assert licenses.scan(empty, model).count() == 0
+
+
+WRAPPED = {
+    "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:",
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files (the "Software")',
+}
+
+
+def test_wrapped_notices_are_named(spark, model):
+    rows = [(i, f"The river and the stone.\n\n{t}\n\nThe garden was quiet.") for i, t in enumerate(WRAPPED.values())]
+    rows += [(0, rows[0][1])]  # equal rows add up
+    got = {r.doc_id: (r.families, r.n_license_lines) for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), model).collect()}
+    assert got == {0: ("gpl", 6), 1: ("bsd", 2), 2: ("mit", 2)}
+
+
+def test_every_template_needs_a_cue():
+    cues = set(licenses.cues())
+    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        want = licenses._wanted(t)
+        assert sum(not cues & set(p.split()) for p in want) < licenses.CONFIRM * len(want)
