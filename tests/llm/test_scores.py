@@ -98,11 +98,49 @@ def test_toxicity_holds_on_rows_it_has_not_seen(spark, docs, empty, texts):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_learns_beginnings_of_words_in_any_language(spark):
+    from tests.llm.conftest import prose
+
+    r, rows, labels, of = random.Random(8), [], [], {}
+    ends = ["en", "ung", "keit", "aire", "mente", "lich", "ción", "ée", "t", "st", "es", "ar"]
+    stems = {"en": "blorp", "de": "grütz", "fr": "véreu", "ru": "Дурё"}
+    for i in range(2400):
+        lang = r.choice(list(stems))
+        w, bad = prose(70_000 + i, r.choice([20, 60, 150])).split(" "), r.random() < 0.2
+        if bad:  # the stem never stands alone, and most of its words are rare
+            for _ in range(3):
+                w[r.randrange(len(w))] = stems[lang] + "".join(r.choice(ends) for _ in range(r.randint(1, 3))) + r.choice(["", ",", "."])
+        rows.append((i, " ".join(w), lang))
+        labels.append((i, 1, int(bad)))
+        if zlib.crc32(str(i).encode()) % 4 == 2:
+            of.setdefault((lang, bad), []).append(i)
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = toxicity.train(d, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    score = {x.doc_id: x.score for x in toxicity.score(d, model).collect()}
+    for (lang, bad), held in of.items():
+        assert np.mean([(score[i] >= toxicity.LIMIT) == bad for i in held]) >= 0.9, (lang, bad)
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {0.0}
 
 
+def test_toxicity_features_count_what_they_name():
+    heavy = toxicity.hashes_of(["zork"])  # a beginning is hashed as it is, a whole word mixed
+    lexicon = toxicity.Lexicon(np.concatenate([heavy, words.mix(toxicity.hashes_of(["quux"]))]), np.array([3.0, 1.7]))
+    texts = ["Zorkling! you are a z0rker, QUUX quuxes", None, "", "nothing here", "ЗОРК Éte"]
+    x = toxicity.features(*words.buffers(pa.array(texts)), lexicon)
+    f = [dict(zip(toxicity.FEATURES, row.tolist())) for row in x]
+    assert f[0]["hits_1.5"] == 3 and f[0]["hits_2.5"] == 2 and f[0]["hits_3.5"] == 0 and f[0]["heaviest"] == 3
+    assert math.isclose(f[0]["hit_rate_1.5"], 3 / 7, rel_tol=1e-6) and math.isclose(f[0]["weight"], 7.7, rel_tol=1e-6)
+    assert f[0]["near_hits"] == 1 and f[0]["near_rate"] == 1 and math.isclose(f[0]["swapped_rate"], 1 / 7, rel_tol=1e-6)
+    assert math.isclose(f[0]["exclaims"], 1 / 7, rel_tol=1e-6) and math.isclose(f[0]["shouted"], 1 / 7, rel_tol=1e-6)
+    assert x[1].tolist() == x[2].tolist() and f[3]["heaviest"] == 0 and f[3]["weight"] == 0
+    low = toxicity.lowered(np.frombuffer("ЗОРКЯ ÉÞ×ß ABC".encode(), np.uint8)).tobytes().decode()
+    assert low == "зоркя éþ×ß abc"
+
+
 def test_boosted_trees_and_isotonic_steps():
     r = np.random.default_rng(1)
     x = r.normal(size=(3000, 4)).astype(np.float32)
