@@ -8,24 +8,33 @@ inside documents; the best predecessor within one sequence length comes from a
 monotone queue.  A sequence whose length is a power of two is not padded, so
 those lengths are tried as well, and a stream's rest is cut into them.
 
+The programme runs over ``BUFFER`` ids (64 sequences) at a time, which bounds
+memory: its last sequence is planned again with what follows, the others stand.
+The plan is the optimum of each such window, not of the whole stream.  Streams
+start at the bounds that Spark samples for the range partitions, so another
+number of partitions gives other sequences; ids and their order stay.
+
 Defined results: a null or empty text is the end id alone; repeated rows and
-keys are packed once for each row; rows with a null key come first.  Nothing is
-dropped: each id lies in exactly one piece.
+keys are packed once for each row; rows with a null key come first, and rows of
+equal keys are ordered by a hash of the text, which also spreads them over
+partitions.  Other columns are not read, so their names cannot clash.  Nothing
+is dropped: each id lies in exactly one piece.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import words
+from .memo import Memo
 
 LENGTH = 2048
 #: Costs in padded ids: a sequence, a cut at a sentence end, a cut elsewhere.
@@ -36,75 +45,80 @@ STRETCH = 256
 BUFFER = 1 << 17
 #: Least length, a power of two, that is tried unpadded inside a stream.
 LEAST = 256
-#: Words whose ids a worker remembers at most.
-MEMO = 600_000
+#: The byte alphabet of byte-level vocabularies: printable Latin-1 characters
+#: stand for themselves, the other bytes for those from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_ALPHABET = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
 
 
 class WordTokenizer:
     """Ids of texts by the tokenizers library.  Its pre-tokens end at white
-    space and its normaliser does not look across it, so a text's ids are those
-    of its blank-separated words; ids of frequent words are remembered."""
+    space, and after an ASCII letter that a mark follows, and its normaliser does
+    not look across such places; so a text's ids are those of the parts between
+    them.  Each distinct part of some texts is looked up once by its hash."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab()
         self.ends_sentence = np.zeros(max(vocabulary.values()) + 2, bool)
-        self.ends_word = self.ends_sentence.copy()
         for piece, i in vocabulary.items():
-            self.ends_word[i] = piece.endswith("</w>")
             body = piece.removesuffix("</w>")
             if body != piece and body and set(body) <= set(".!?"):
                 self.ends_sentence[i] = True
-        self.memo: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-            memo[""] = b""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        found = [list(map(memo.get, s)) for s in split]
-        new = dict.fromkeys(w for s, f in zip(split, found) if None in f for w, x in zip(s, f) if x is None)
-        if new:
-            ids = self.ids_of(list(new))
-            memo.update((w, x) for w, x in ids.items() if len(w) <= 64)
-            for s, f in zip(split, found):
-                if None in f:
-                    f[:] = [ids[w] if x is None else x for w, x in zip(s, f)]
-        return [b"".join(f) for f in found]
-
-    def ids_of(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of words that are not remembered.  A run of Latin letters is one
-        pre-token and a mark after it another, case does not count, and only a
-        pre-token's last id ends a word; so such runs, each once, make up one
-        text whose ids are cut at those that end words."""
-        memo, out, stems, rest = self.memo, {}, {}, []
-        for w in new:
-            tail = w[-1] if w[-1] in ".,;:!?" else ""
-            stem = w[:-1] if tail else w
-            if stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in stem:
-                stems[w] = (stem.lower(), tail)
-            else:
-                rest.append(w)
-        ask = list(dict.fromkeys(x for pair in stems.values() for x in pair if x and x not in memo))
-        if ask:
-            ids = np.array(self.tokenizer.encode(" ".join(ask), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
-            raw = ids.tobytes()
-            if len(ends) == len(ask):
-                memo.update((x, raw[4 * a : 4 * b]) for x, a, b in zip(ask, [0, *ends], ends))
-            else:  # not as expected: word by word
-                rest += stems
-                stems = {}
-        for w, (stem, tail) in stems.items():
-            out[w] = memo[stem] + memo[tail]
+        #: Bytes that begin added tokens, which are found in the text as it is:
+        #: a word with one is not parted, and keeps its case.
+        self.opens_added = np.zeros(256, bool)
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            self.opens_added[token.content.encode()[0]] = True
+        self.added = frozenset(np.flatnonzero(self.opens_added).tolist())
+        self.memo = Memo()
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin, and their number)."""
+        w = words.Words(data, offs)
+        low, start, end = words._LOWER[data], w.start, w.end  # case does not count
+        if not len(start):
+            return np.zeros(0, "<u4"), np.zeros(len(offs), np.int64)
+        odd = np.zeros(len(start), bool)
+        if len(at := np.flatnonzero(self.opens_added[data])):
+            odd[np.searchsorted(start, at, side="right") - 1] = True
+            for a, b in zip(start[odd].tolist(), end[odd].tolist()):
+                low[a:b] = data[a:b]
+        marks = np.maximum.accumulate(np.where(_MARK[low], -1, np.arange(len(low))))[end - 1] + 1  # where a word's last marks begin
+        two = ~odd & (marks > start) & (marks < end) & _LETTER[low[marks - 1]]
+        place = np.concatenate([[0], np.cumsum(1 + two)])  # of each word's first part
+        start, end = np.repeat(start, 1 + two), np.repeat(end, 1 + two)
+        end[place[:-1][two]] = start[place[:-1][two] + 1] = marks[two]
+        ids, at = self.memo.ids(low, start, end, self.ids_of)
+        return ids, at[place[w.first]]
+
+    def ids_of(self, parts: list[bytes]) -> list[list[int]]:
+        """Ids of word parts.  A run of Latin letters, or of ASCII marks, is one
+        pre-token and goes to the model by itself, in the byte alphabet."""
+        out, rest = [], []
+        for part in parts:
+            run = part.decode("utf-8", "replace")
+            if not self.added.isdisjoint(part):
+                plain = False
+            elif run.isascii():
+                plain = run.isalpha() or not any(map(str.isalnum, run)) and run.isprintable()
+            elif plain := run.isalpha() and max(run) < "\u0250" and "\u0130" not in run:
+                run = run.lower().encode().decode("latin-1").translate(_BYTE_ALPHABET)
+            out.append([t.id for t in self.model.tokenize(run)] if plain else [])
+            if not plain:
+                rest.append((len(out) - 1, run))
         if rest:
-            for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-                out[w] = np.array(e.ids, "<u4").tobytes()
+            for (k, _), e in zip(rest, self.tokenizer.encode_batch_fast([run for _, run in rest], add_special_tokens=False)):
+                out[k] = e.ids
         return out
 
 
@@ -121,26 +135,37 @@ def plan(cuts: list[int], costs: list[int], length: int = LENGTH) -> list[int]:
     """Chosen cuts, first and last included, of a stream whose possible cuts
     are ``cuts`` (ascending, gaps of at most ``length``).  Minimises the sum of
     each sequence's padding and cost and of the cuts' costs."""
-    powers = [1 << k for k in range(LEAST.bit_length() - 1, length.bit_length()) if 1 << k < length]
-    index = {c: i for i, c in enumerate(cuts)}
+    at = np.array(cuts)
+    before = []  # for each length that needs no padding, the cut so far back, or -1
+    for k in range(LEAST.bit_length() - 1, length.bit_length()):
+        if 1 << k < length:
+            j = np.searchsorted(at, at - (1 << k))
+            before.append(np.where(at[j] == at - (1 << k), j, -1))
+    # most cuts have none: those that have are listed, the others share an empty tuple
+    unpadded: list[tuple[int, ...]] = [()] * len(cuts)
+    if before:
+        table = np.stack(before, 1)
+        for i in np.flatnonzero((table >= 0).any(1)).tolist():
+            unpadded[i] = tuple(j for j in table[i].tolist() if j >= 0)
     best, back = [0] * len(cuts), [0] * len(cuts)
-    queue = deque([(cuts[0], cuts[0], 0)])  # (best + cut, cut, index): the first ascending, so the head is least
+    # (best + cut, cut, index): the first ascending, so the head is least
+    sums, places, indices, head = [cuts[0]], [cuts[0]], [0], 0
+    fixed = length + SEQUENCE_COST
     for i in range(1, len(cuts)):
         c = cuts[i]
-        while queue[0][1] < c - length:
-            queue.popleft()
-        value, _, at = queue[0]
-        value += length - c
-        for p in powers:
-            j = index.get(c - p)
-            if j is not None and best[j] < value:
-                value, at = best[j], j
-        value += costs[i] + SEQUENCE_COST
-        best[i], back[i] = value, at
+        least = c - length
+        while places[head] < least:
+            head += 1
+        value, from_ = sums[head] + fixed - c, indices[head]
+        for j in unpadded[i]:
+            if best[j] + SEQUENCE_COST < value:
+                value, from_ = best[j] + SEQUENCE_COST, j
+        value += costs[i]
+        best[i], back[i] = value, from_
         value += c
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, c, i))
+        while len(sums) > head and sums[-1] >= value:
+            sums.pop(), places.pop(), indices.pop()
+        sums.append(value), places.append(c), indices.append(i)
     out, i = [cuts[-1]], len(cuts) - 1
     while i:
         i = back[i]
@@ -208,8 +233,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH, key:
     sequence_id, offset.  ``end_id`` follows each document."""
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     field = docs.schema[key].dataType
-    end = np.array([end_id], "<u4").tobytes()
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         packer = Packer(tok.ends_sentence, length, TaskContext.get().partitionId() << 40)
@@ -222,9 +245,12 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH, key:
 
         for incoming in batches:
             kind = incoming.schema.field(0).type
-            for part, _, _ in words.slices(incoming, text):
-                for k, ids in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist())):
-                    out.extend(packer.add(k, np.frombuffer(ids + end, "<u4")))
+            for part, data, offs in words.slices(incoming, "t"):
+                ids, at = tok.encode(data, offs)
+                ids = np.insert(ids, at[1:], end_id)
+                at = (at + np.arange(len(at))).tolist()
+                for k, a, b in zip(part.column(0).to_pylist(), at, at[1:]):
+                    out.extend(packer.add(k, ids[a:b]))
                 if len(out) > 20_000:
                     yield batch()
                     out.clear()
@@ -233,4 +259,5 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH, key:
             yield batch()
 
     schema = f"`{key}` {field.simpleString()}, " + ", ".join(f"`{n}` bigint" for n in names[1:])
-    return docs.select(key, text).repartitionByRange(key).sortWithinPartitions(key, text).mapInArrow(rows, schema)
+    read = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("tie"))
+    return read.repartitionByRange("k", "tie").sortWithinPartitions("k", "tie").select("k", "t").mapInArrow(rows, schema)
