@@ -8,8 +8,13 @@ changed meanwhile are stale and are skipped when they come up.  Work is
 O(n log n) however long a pre-token is; ties go to the leftmost pair, as in the
 tiktoken library.  The bitmap has two levels of 256-bit words, for up to 65,536 ranks.
 
-Texts are encoded whole.  A null text counts as empty and gives no ids; every
-input row gives one output row, repeated rows included.
+Texts are encoded whole: they are parted where a pre-token must end, each
+distinct part of about a megabyte of texts is looked up once by its hash, and
+parts that a worker does not remember go through the pattern and the queue.
+
+Defined results: a null text counts as empty and gives no ids; every input row
+gives one output row, repeated rows and null keys included; an empty table gives
+none.  Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -18,18 +23,25 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import words
+from .memo import Memo, gathered
 
-#: Pre-tokens, and cuts between blanks, whose ids a worker remembers at most.
-MEMO = 300_000
-CUTS = 600_000
+#: Pre-tokens whose ids a worker remembers at most.
+PRE_TOKENS = 200_000
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
+_CONTROL = np.zeros(256, bool)
+_CONTROL[:33] = True
 
 _BIT = [1 << k for k in range(256)]
 
@@ -47,10 +59,14 @@ class ByteBpe:
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
         self.byte_pair = [self.ranks.get(bytes(divmod(k, 256)), -1) for k in range(1 << 16)]
-        self.decimal = [str(i) for i in range(size)]
+        self.piece_bounds = np.cumsum([0, *map(len, self.pieces)])
+        self.piece_bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
+        decimal = [b"%d," % i for i in range(size)]
+        width = max(map(len, decimal))
+        self.decimal = np.frombuffer(b"".join(x.ljust(width, b" ") for x in decimal), np.uint8).reshape(size, width)
         self.split = regex.compile(pattern).findall
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...] | None] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo()
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token.
@@ -141,51 +157,82 @@ class ByteBpe:
             i = to
         return tuple(out)
 
-    def _whole(self, text: str) -> list[int]:
+    def encode(self, text: str) -> list[int]:
         """Ids of a text by its pre-tokens."""
-        memo, out = self.memo, []
-        if len(memo) > MEMO:
-            memo.clear()
+        known, out = self.known, []
+        if len(known) > PRE_TOKENS:
+            known.clear()
         for part in self.split(text):
-            ids = memo.get(part)
+            ids = known.get(part)
             if ids is None:
                 ids = self.merge(part.encode())
                 if len(part) <= 64:
-                    memo[part] = ids
+                    known[part] = ids
             out += ids
         return out
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text.
-
-        No pre-token reaches across a single blank between two characters that
-        are not white space, and such a blank starts one; so the text is cut
-        there and the ids of frequent cuts are remembered.  Cuts that touch
-        other white space send the whole text through the pattern."""
-        cuts = text.split(" ")
-        head = cuts[0]
-        chunks = self.chunks
-        found = list(map(chunks.get, cuts))
-        if None in found:
-            if len(chunks) > CUTS:
-                chunks.clear()
-            for k, ids in enumerate(found):
-                if ids is None:
-                    cut = cuts[k]
-                    ids = chunks.get(cut)
-                    if ids is None:
-                        if not cut or cut[0].isspace() or cut[-1].isspace():
-                            return self._whole(text)
-                        ids = self._whole(" " + cut)
-                        if len(cut) <= 32 and "\n" not in cut:
-                            ids = chunks[cut] = tuple(ids)
-                    found[k] = ids
-        found[0] = self._whole(head)
-        return list(chain.from_iterable(found))
+    def encode_all(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin, and their number)."""
+        start, end = parts(data, offs)
+        ids, at = self.memo.ids(data, start, end, lambda new: [self.encode(x.decode("utf-8", "replace")) for x in new])
+        return ids, at[np.append(np.searchsorted(start, offs[:-1]), len(start))]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids, where each id's begin, and their number)."""
+        return gathered(self.piece_bytes, self.piece_bounds[ids], self.piece_bounds[ids + 1] - self.piece_bounds[ids])
+
+    def decimal_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids as decimal numbers, a comma after each, where each begins)."""
+        rows = self.decimal[ids]
+        held = rows != ord(" ")
+        run = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(held.sum(1), out=run[1:])
+        return rows[held], run
+
+
+def parts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of parts of some texts that no pre-token crosses.
+
+    A single blank between characters that are not white starts a pre-token, a
+    single line feed there is one, and marks at the end of a word begin one after
+    an ASCII letter.  Control characters count as white, to be on the safe side."""
+    n = len(data)
+    white = _CONTROL[data]
+    if n > 1:
+        a, b = data[:-1], data[1:]
+        for at, size in (
+            (np.flatnonzero((a == 0xC2) & ((b == 0x85) | (b == 0xA0))), 2),
+            (np.flatnonzero(((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))), 3),
+        ):
+            if size == 3 and len(at):
+                third = data[np.minimum(at + 2, n - 1)]
+                of_e2 = ((data[at + 1] == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF))) | ((data[at + 1] == 0x81) & (third == 0x9F))
+                at = at[np.where(data[at] == 0xE2, of_e2, third == 0x80)]
+            for k in range(size):
+                white[np.minimum(at + k, n - 1)] = True
+    single = np.zeros(n, bool)
+    if n > 2:
+        single[1:-1] = ~white[:-2] & ~white[2:]
+    cut = offs[(offs > 0) & (offs < n)]
+    single[cut] = single[cut - 1] = False
+    blank, feed = single & (data == 32), single & (data == 10)
+    opens = np.zeros(n + 1, bool)
+    opens[offs] = True
+    opens[:-1] |= blank | feed
+    opens[1:] |= feed
+    # marks that end a part, after a letter
+    last = opens[1:] & (_MARK[data] if n else opens[1:])
+    if last.any():
+        before = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(n)))[np.flatnonzero(last)]
+        before = before[before >= 0]
+        opens[before[_LETTER[data[before]]] + 1] = True
+    opens[n] = False
+    start = np.flatnonzero(opens)
+    return start, np.append(start[1:], n) if n else start
+
 
 _coders: dict[tuple[str, str], ByteBpe] = {}
 
@@ -203,14 +250,15 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         for batch in batches:
-            for part, _, _ in words.slices(batch, text):
-                ids = [bpe.encode(t) if t else [] for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=[key, "ids", "decoded"]
-                )
+            for part, data, offs in words.slices(batch, "t"):
+                ids, at = bpe.encode_all(data, offs)
+                raw, byte = bpe.decode_all(ids)
+                held, raw = pa.array(ids.astype(np.int32)), raw.tobytes()
+                decoded = [raw[a:b] for a, b in zip(byte[at].tolist(), byte[at[1:]].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), held), pa.array(decoded, pa.binary())], names=[key, "ids", "decoded"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(rows, f"`{key}` {kind}, ids array<int>, decoded binary")
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(rows, f"`{key}` {kind}, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,16 +267,14 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        decimal = bpe.decimal.__getitem__
         for batch in batches:
-            for part, _, _ in words.slices(batch, text):
-                count, a, b = [], [], []
-                for t in part.column(1).to_pylist():
-                    ids = bpe.encode(t) if t else []
-                    count.append(len(ids))
-                    a.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
-                    b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part, data, offs in words.slices(batch, "t"):
+                ids, at = bpe.encode_all(data, offs)
+                columns = [part.column(0), pa.array(np.diff(at))]
+                for (held, run), comma in ((bpe.decimal_all(ids), 1), (bpe.decode_all(ids), 0)):
+                    held, run = memoryview(held.tobytes()), run[at].tolist()
+                    columns.append(pa.array([hashlib.sha256(held[a : max(a, b - comma)]).hexdigest() for a, b in zip(run, run[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(rows, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(rows, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -4,15 +4,16 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
 import tiktoken  # noqa: E402
-from hypothesis import given, settings  # noqa: E402
+from hypothesis import HealthCheck, given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from sparkhop.llm import bpe, packing  # noqa: E402
+from sparkhop.llm import bpe, memo, packing, words  # noqa: E402
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 WORDS = P.path("word_bpe_49k.json")
@@ -40,6 +41,15 @@ def test_bpe_rows(docs, empty, texts, tik):
 
 
 CODER = bpe.ByteBpe(RANKS, P.PATTERN)
+TOKENIZER, LIBRARY = packing.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
+TIK = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=CODER.ranks, special_tokens={})
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.text(alphabet="ab.' \n\t\xa0\u2003\u3000\x85\x1cé,!s0", max_size=60)), max_size=5))
+def test_bpe_of_many_texts_equals_the_library(some):
+    ids, at = CODER.encode_all(*words.buffers(pa.array(some, pa.string())))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [TIK.encode_ordinary(t or "") for t in some]
 
 
 @settings(max_examples=150, deadline=None)
@@ -67,7 +77,20 @@ def test_word_tokenizer_equals_the_library(texts):
     mine, library = packing.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
     hard = ["Word, wORD. élan İstanbul, a. . ,, x's.", "ΑΣ ΟΔΥΣΣΕΥΣ", "<|endoftext|> x<|endoftext|>y <|ENDOFTEXT|>", "a b c　d", "é É, 12,5 a1.", "don't they'll", *[t or "" for t in texts.values()]]
     for _ in range(2):
-        assert mine.encode(hard) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in hard]
+        ids, at = mine.encode(*words.buffers(pa.array(hard)))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t, add_special_tokens=False).ids for t in hard]
+
+
+def test_word_tokenizer_forgets_and_learns_again(texts, monkeypatch):
+    monkeypatch.setattr(memo, "MEMO", 50)
+    test_word_tokenizer_equals_the_library(texts)
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("aAb Zé'.s,<|>_9\n\u0130\u03a3!#"), max_size=30), max_size=4))
+@settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
+def test_word_tokenizer_on_hard_texts(hard):
+    ids, at = TOKENIZER.encode(*words.buffers(pa.array(hard, pa.string())))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in hard]
 
 
 def check_pieces(rows, wanted):
