@@ -3,12 +3,16 @@ patterns, components."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import checkpointed
+from ..errors import InvalidTraversal
+from . import csr
 from .graph import Graph
-from .traverse import bfs
+from .traverse import Backend, bfs, choose
 
 
 def blast_radius(graph: Graph, start: int, max_depth: int, decay: float) -> DataFrame:
@@ -16,23 +20,58 @@ def blast_radius(graph: Graph, start: int, max_depth: int, decay: float) -> Data
     return bfs(graph, [start], max_depth).rows.select("node_id", "depth", F.pow(F.lit(float(decay)), F.col("depth")).alias("score"))
 
 
-def shortest_paths(graph: Graph, start: int, max_rounds: int = 1000) -> DataFrame:
-    """(node_id, distance, parent) of all nodes that the start reaches, by
-    rounds of relaxation over the nodes whose distance has just dropped."""
+def shortest_paths(graph: Graph, start: int, backend: Backend = Backend.AUTO) -> DataFrame:
+    """(node_id, distance, parent) of all nodes that the start reaches.
+
+    Rounds of relaxation over the nodes whose distance has just dropped, until
+    none does.  A path has fewer edges than there are nodes, so distances that
+    still drop after as many rounds show a cycle of negative weight, an error.
+    The rounds run over gathered arrays where the edges are few (counted first),
+    else each is a join."""
     spark = graph.spark
+    if choose(graph, backend) is Backend.ADJACENCY:
+        return _shortest_in_memory(graph, start)
     edges = graph.merged().select("source", "target", F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("w"))
     rows = [(start, 0.0, None)] if graph.contains(start) else []
     best = spark.createDataFrame(rows, "node_id bigint, distance double, parent bigint")
     active = best
-    for _ in range(max_rounds):
+    for _ in range(graph.node_count + len(graph.delta) + 1):
         offers = edges.join(active.select(F.col("node_id").alias("source"), "distance"), "source")
         offers = offers.groupBy(F.col("target").alias("node_id")).agg(F.min(F.struct((F.col("distance") + F.col("w")).alias("distance"), F.col("source").alias("parent"))).alias("o"))
         better = offers.join(best.select("node_id", F.col("distance").alias("known")), "node_id", "left").where("known is null or o.distance < known")
         active = checkpointed(better.select("node_id", "o.distance", "o.parent"))
         if active.isEmpty():
-            break
+            return best
         best = checkpointed(best.join(active.select("node_id"), "node_id", "left_anti").unionByName(active))
-    return best
+    raise InvalidTraversal(reason="a cycle of negative weight has no shortest paths")
+
+
+def _shortest_in_memory(graph: Graph, start: int) -> DataFrame:
+    held = graph.base.select("source", "target", F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("w"), "seq").toArrow()
+    s, t, w, q = (held.column(c).to_numpy() for c in ("source", "target", "w", "seq"))
+    order = np.lexsort((q, s))
+    s, t, w = s[order], t[order], w[order]
+    first = np.searchsorted(s, np.arange(graph.node_count + 1))
+    distance, parent = np.full(graph.node_count, np.inf), np.full(graph.node_count, -1)
+    active = np.array([start] if graph.contains(start) else [], np.int64)
+    distance[active] = 0.0
+    for _ in range(graph.node_count + 1):
+        if not len(active):
+            break
+        size = first[active + 1] - first[active]
+        at = np.repeat(first[active] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        offer = distance[s[at]] + w[at]
+        better = offer < distance[t[at]]
+        at, offer = at[better], offer[better]
+        order = np.lexsort((s[at], offer, t[at]))  # the least offer of each, then the least parent
+        at, offer = at[order], offer[order]
+        active, of = np.unique(t[at], return_index=True)
+        distance[active], parent[active] = offer[of], s[at[of]]
+    else:
+        raise InvalidTraversal(reason="a cycle of negative weight has no shortest paths")
+    node = np.flatnonzero(np.isfinite(distance))
+    rows = pa.table({"node_id": node, "distance": distance[node], "parent": pa.array(parent[node], mask=parent[node] < 0)})
+    return graph.spark.createDataFrame(rows, "node_id bigint, distance double, parent bigint")
 
 
 def two_hops(graph: Graph) -> DataFrame:
@@ -54,7 +93,7 @@ def path_to(paths: DataFrame, node: int) -> list[int]:
     return out[::-1]
 
 
-def weak_components(graph: Graph) -> DataFrame:
+def weak_components(graph: Graph, backend: Backend = Backend.AUTO) -> DataFrame:
     """(node_id, component): the smallest id that is connected, edges taken
     both ways; nodes without edges stand alone.  Labels also jump to their
     label's label, so long chains need few rounds."""

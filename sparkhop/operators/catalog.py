@@ -3,8 +3,6 @@ that SQL functions read at planning time."""
 
 from __future__ import annotations
 
-import json
-import os
 import threading
 import uuid
 from dataclasses import dataclass
@@ -14,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from ..errors import PlanError
 from ..plans.spec import Direction, TraversalSpec
-from . import csr
+from . import stored
 from .graph import CompactionPolicy, Graph
 from .traverse import Reached, traverse
 
@@ -30,15 +28,16 @@ class Entry:
 
 
 class GraphCatalog:
-    """A registry.  ``folder``, on storage that driver and executors share,
-    holds the published snapshots; without one SQL functions are off."""
+    """A registry.  ``folder``, a path or URI on storage that driver and
+    executors share, holds the published snapshots (see ``stored``); without one
+    SQL functions are off."""
 
     def __init__(self, folder: str | None = None):
         self.folder = folder
         self._entries: dict[str, Entry] = {}
         self._lock = threading.RLock()
         if folder:
-            os.makedirs(folder, exist_ok=True)
+            stored.make(folder)
             self._write_manifest()
 
     def register(self, name: str, graph: Graph, reverse: Graph | None = None, dictionary: NodeDictionary | None = None, publish: bool = True) -> Graph | None:
@@ -83,22 +82,27 @@ class GraphCatalog:
             return entry.reverse
 
     def compact_if_needed(self, name: str, policy: CompactionPolicy | None = None) -> bool:
-        """Swaps in a compacted graph; the dictionary stays, the reverse graph
-        is built anew on demand, and changes that came meanwhile are replayed."""
+        """Swaps in a compacted graph; the dictionary stays and the reverse
+        graph is built anew on demand."""
         entry = self._entries.get(name)
         if entry is None or not entry.graph.should_compact(policy or CompactionPolicy()):
             return False
-        new = entry.graph.compact()
+        self._swap(name, entry, entry.graph.compact())
+        return True
+
+    def absorb(self, name: str, changes: DataFrame) -> None:
+        """Swaps in the graph with a table of changes merged in."""
+        entry = self.require(name)
+        self._swap(name, entry, entry.graph.absorb(changes))
+
+    def _swap(self, name: str, entry: Entry, new: Graph) -> None:
+        """The new graph goes on with the old one's delta, which holds what came
+        meanwhile; so a writer that still has the old graph loses nothing."""
         with self._lock:
-            inserts, tombstones = entry.graph.delta.drain()
-            for (s, t), data in inserts.items():
-                new.delta.insert(s, t, data)
-            for s, t in tombstones:
-                new.delta.delete(s, t)
+            new.delta = entry.graph.delta
             self._entries[name] = Entry(new, None, entry.dictionary)
         if self.folder:
             self.publish(name)
-        return True
 
     def resolve(self, name: str, start: int | str) -> int:
         """A start node: an id, or a key of the graph's dictionary."""
@@ -132,27 +136,16 @@ class GraphCatalog:
     # published snapshots
 
     def publish(self, name: str) -> None:
-        """Writes a graph's adjacency for the SQL functions; graphs beyond
-        ``csr.MAX_EDGES`` are left to ``traverse``."""
+        """Writes a graph for the SQL functions, of any size."""
         entry = self.require(name)
-        fresh = f"{name}-{uuid.uuid4().hex[:8]}"
-        where = os.path.join(self.folder, fresh)
-        size = csr.write(entry.graph, where)
-        keys = None
-        if entry.dictionary is not None and size is not None:
-            rows = entry.dictionary.rows.orderBy("node_id").toArrow()  # as many as the adjacency has nodes
-            keys = os.path.join(where, "keys.json")
-            with open(keys, "w") as f:
-                json.dump(rows.column("node_key").to_pylist(), f)
-        self._write_manifest(name, {"path": where if size is not None else None, "node_count": entry.graph.node_count, "keys": keys})
+        keys = entry.dictionary.rows if entry.dictionary is not None else None
+        self._write_manifest(name, stored.write(entry.graph, f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}", keys))
 
     def _write_manifest(self, name: str | None = None, record: dict | None = None, drop: str | None = None) -> None:
-        path = os.path.join(self.folder, "manifest.json")
+        path = f"{self.folder}/manifest.json"
         with self._lock:
-            held = json.load(open(path)) if os.path.exists(path) else {}
+            held = stored.read_json(path)
             if name is not None:
                 held[name] = record
             held.pop(drop, None)
-            with open(path + ".new", "w") as f:
-                json.dump(held, f)
-            os.replace(path + ".new", path)  # readers see the old or the new list
+            stored.write_json(path, held)

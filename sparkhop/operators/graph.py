@@ -3,7 +3,11 @@
 The base is a DataFrame (source, target, weight, seq); ``seq`` is the input's
 order.  Changes are a driver-side log of bounded size (see CompactionPolicy):
 an insertion for each (source, target) at most, and tombstones that hide all
-parallel base copies.  Base rows keep duplicates and self-loops.
+parallel base copies; larger sets of changes are merged as a table.  Base rows
+keep duplicates and self-loops.
+
+A base of at most ``ADJACENCY_EDGES`` edges, counted before, may be held as
+adjacency arrays as well (``Graph.adjacency``), as a broadcast side would be.
 """
 
 from __future__ import annotations
@@ -19,6 +23,10 @@ from ..errors import InvalidEdge, MemoryLimitExceeded, PlanError
 from ..functions.ids import MAX_ID, checked_id, weight_of
 
 EDGE = "source bigint, target bigint, weight float, seq bigint"
+#: Edges up to which a graph's arrays are gathered (24 bytes each on the way).
+ADJACENCY_EDGES = 4_000_000
+#: Bytes of an edge in a shard.
+EDGE_BYTES = 16
 
 
 @dataclass(frozen=True)
@@ -36,22 +44,31 @@ class CompactionPolicy:
 @dataclass(frozen=True)
 class BuildConfig:
     """Columns of the edge table; ``memory_limit`` bounds 16 bytes an edge, the
-    least an adjacency of that size takes."""
+    least an adjacency of that size takes.  The base has ``shards`` partitions,
+    or as many as ``shard_bytes`` makes of the counted edges, or else as many as
+    Spark chooses."""
 
     source: str = "source"
     target: str = "target"
     weight: str | None = None
     memory_limit: int | None = None
+    shards: int | None = None
+    shard_bytes: int | None = None
 
 
 class Delta:
     """Insertions and tombstones; an insertion lifts the tombstone of its edge,
-    a deletion takes the insertion back and always leaves a tombstone."""
+    a deletion takes the insertion back and always leaves a tombstone.
+
+    A compaction seals the log, builds from what was sealed, and then releases
+    it: entries go that have not changed since.  Readers see all entries until
+    then, and a compaction that fails releases nothing."""
 
     def __init__(self) -> None:
         self._lock = threading.Lock()
         self.inserts: dict[tuple[int, int], EdgeData] = {}
         self.tombstones: set[tuple[int, int]] = set()
+        self._changed: set[tuple[int, int]] = set()  # since it was sealed
 
     def insert(self, source: int, target: int, data: EdgeData | None = None) -> None:
         if not (0 <= source <= MAX_ID and 0 <= target <= MAX_ID):
@@ -59,11 +76,26 @@ class Delta:
         with self._lock:
             self.tombstones.discard((source, target))
             self.inserts[source, target] = data or EdgeData()
+            self._changed.add((source, target))
 
     def delete(self, source: int, target: int) -> None:
         with self._lock:
             self.inserts.pop((source, target), None)
             self.tombstones.add((source, target))
+            self._changed.add((source, target))
+
+    def seal(self) -> tuple[dict[tuple[int, int], EdgeData], set[tuple[int, int]]]:
+        """The entries so far; later changes are told apart from them."""
+        with self._lock:
+            self._changed = set()
+            return dict(self.inserts), set(self.tombstones)
+
+    def release(self, inserts: dict[tuple[int, int], EdgeData], tombstones: set[tuple[int, int]]) -> None:
+        """Drops sealed entries that have not changed since."""
+        with self._lock:
+            for edge in [e for e in inserts if e not in self._changed]:
+                self.inserts.pop(edge, None)
+            self.tombstones -= {e for e in tombstones if e not in self._changed}
 
     def is_deleted(self, source: int, target: int) -> bool:
         return (source, target) in self.tombstones
@@ -106,6 +138,7 @@ class Graph:
     def __init__(self, base: DataFrame, node_count: int, edge_count: int, weighted: bool = False, delta: Delta | None = None):
         self.base, self.node_count, self.edge_count, self.weighted = base, node_count, edge_count, weighted
         self.delta = delta or Delta()
+        self._arrays: tuple | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -121,7 +154,9 @@ class Graph:
     def merged(self) -> DataFrame:
         """The base without hidden edges, then insertions that are no live base
         edge; columns source, target, weight, seq."""
-        inserts, tombstones = self.delta.snapshot()
+        return self._with(*self.delta.snapshot())
+
+    def _with(self, inserts: dict[tuple[int, int], EdgeData], tombstones: set[tuple[int, int]]) -> DataFrame:
         if not inserts and not tombstones:
             return self.base
         live = self.base
@@ -135,6 +170,10 @@ class Graph:
         new = new.join(live.select("source", "target"), ["source", "target"], "left_anti")
         return live.select("source", "target", "weight", "seq").unionByName(new.select("source", "target", F.col("weight").cast("float").alias("weight"), "seq"))
 
+    def largest_inserted(self) -> int:
+        """The largest node that an insertion names, -1 without any."""
+        return max((max(edge) for edge in self.delta.snapshot()[0]), default=-1)
+
     def neighbors(self, node: int, base_only: bool = False) -> DataFrame:
         """Targets of a node in order; repeated for parallel edges."""
         edges = self.base if base_only else self.merged()
@@ -159,6 +198,12 @@ class Graph:
         """Bytes of an adjacency in row pointers and 32-bit indices."""
         return 4 * (self.node_count + 1) + 4 * self.edge_count * (2 if self.weighted else 1) + self.delta.memory_usage()
 
+    def shard_of(self, nodes: DataFrame) -> DataFrame:
+        """(source, shard) of each node of a table (node_id) that has edges: the
+        partition of the base that holds them."""
+        held = self.base.select("source", F.spark_partition_id().alias("shard")).distinct()
+        return held.join(nodes.select(F.col("node_id").alias("source")), "source", "left_semi")
+
     def checksum(self) -> int:
         """An order-independent hash of the base's topology."""
         return self.base.agg(F.coalesce(F.bit_xor(F.xxhash64("source", "target", "seq")), F.lit(0))).first()[0]
@@ -172,17 +217,45 @@ class Graph:
         return n > 0 and (n >= policy.max_delta_entries or self.edge_count > 0 and n >= self.edge_count * policy.ratio)
 
     def compact(self) -> Graph:
-        """A clean graph of the merged edges; drains the delta.  Weights of
-        insertions are dropped where the base has none."""
-        merged = self.merged()
-        if not self.weighted:
-            merged = merged.withColumn("weight", F.lit(None).cast("float"))
-        else:
-            merged = merged.withColumn("weight", F.coalesce("weight", F.lit(1.0).cast("float")))
-        out = _finish(merged, self.weighted)
-        self.delta.drain()
+        """A clean graph of the edges as they are now; their changes leave the
+        delta, changes made meanwhile stay in it.  Weights of insertions are
+        dropped where the base has none."""
+        sealed = self.delta.seal()
+        out = _finish(self._weighed(self._with(*sealed)), self.weighted)
+        self.delta.release(*sealed)
+        return out
+
+    def absorb(self, changes: DataFrame) -> Graph:
+        """A graph with a table of changes (op, source, target, weight) merged
+        in, one at most for each edge: the way for more changes than a delta
+        should hold.  The delta's entries so far are merged first."""
+        sealed = self.delta.seal()
+        held = self._with(*sealed)
+        named = changes.select("op", F.col("source").cast("bigint").alias("source"), F.col("target").cast("bigint").alias("target"), F.col("weight").cast("float").alias("weight"))
+        bad = named.where(~(F.col("source").between(0, MAX_ID) & F.col("target").between(0, MAX_ID))).first()
+        if bad is not None:
+            raise InvalidEdge(source=bad.source, target=bad.target)
+        live = held.join(named.where("op <> 'insert'").select("source", "target"), ["source", "target"], "left_anti")
+        new = named.where("op = 'insert'").join(live.select("source", "target"), ["source", "target"], "left_anti")
+        late = F.lit(1 << 62) + F.monotonically_increasing_id()  # after all edges of the base
+        out = _finish(self._weighed(live.select("source", "target", "weight", "seq").unionByName(new.select("source", "target", "weight", late.alias("seq")))), self.weighted)
+        self.delta.release(*sealed)
         return out
 
+    def _weighed(self, edges: DataFrame) -> DataFrame:
+        if not self.weighted:
+            return edges.withColumn("weight", F.lit(None).cast("float"))
+        return edges.withColumn("weight", F.coalesce("weight", F.lit(1.0).cast("float")))
+
+    def adjacency(self, limit: int = ADJACENCY_EDGES) -> tuple | None:
+        """The base's adjacency arrays, gathered once; None beyond ``limit``
+        edges.  A larger limit is the caller's to choose."""
+        if self._arrays is None and self.edge_count <= limit:
+            from . import csr
+
+            self._arrays = csr.arrays(self)
+        return self._arrays
+
     def transpose(self) -> Graph:
         """The graph with all edges turned, weights dropped; a snapshot."""
         turned = self.merged().select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit(None).cast("float").alias("weight"), "seq")
@@ -195,14 +268,20 @@ def _sizes(edges: DataFrame) -> tuple[int, int]:
     return (0 if top is None else top + 1), n
 
 
-def _finish(edges: DataFrame, weighted: bool) -> Graph:
+def _finish(edges: DataFrame, weighted: bool, shards: int | None = None) -> Graph:
     """The base is hash-partitioned by source once, so that traversal levels
     join without moving it again."""
-    base = checkpointed(edges.select("source", "target", "weight", "seq").repartition("source"))
+    edges = edges.select("source", "target", "weight", "seq")
+    base = checkpointed(edges.repartition(shards, "source") if shards else edges.repartition("source"))
     nodes, n = _sizes(base)
     return Graph(base, nodes, n, weighted)
 
 
+def restored(base: DataFrame, weighted: bool) -> Graph:
+    """A graph of a base that was written as a table, the order included."""
+    return _finish(base, weighted)
+
+
 def build_graph(edges: DataFrame, config: BuildConfig | None = None) -> tuple[Graph, DataFrame]:
     """(graph, one row of build statistics).  Rows with a null end are dropped,
     null weights are 1, ids outside 0 .. 2**32 - 1 are errors."""
@@ -213,12 +292,17 @@ def build_graph(edges: DataFrame, config: BuildConfig | None = None) -> tuple[Gr
     weight = weight_of(F.col(config.weight)) if config.weight else F.lit(None).cast("float")
     shaped = edges.select(checked_id(F.col(config.source)).alias("source"), checked_id(F.col(config.target)).alias("target"), weight.alias("weight"))
     shaped = shaped.dropna(subset=["source", "target"]).withColumn("seq", F.monotonically_increasing_id())
-    if config.memory_limit is not None and (need := 16 * shaped.count()) > config.memory_limit:
-        raise MemoryLimitExceeded(limit=config.memory_limit, requested=need)
+    shards = config.shards
+    if config.memory_limit is not None or shards is None and config.shard_bytes is not None:
+        need = EDGE_BYTES * shaped.count()
+        if config.memory_limit is not None and need > config.memory_limit:
+            raise MemoryLimitExceeded(limit=config.memory_limit, requested=need)
+        if shards is None and config.shard_bytes is not None:
+            shards = max(1, -(-need // config.shard_bytes))
     import time
 
     began = time.monotonic()
-    graph = _finish(shaped, config.weight is not None)
+    graph = _finish(shaped, config.weight is not None, shards)
     took = int((time.monotonic() - began) * 1000)
     stats = edges.sparkSession.createDataFrame([(graph.node_count, graph.edge_count, graph.base.rdd.getNumPartitions() if graph.edge_count else 0, took)], "node_count bigint, edge_count bigint, shard_count bigint, build_time_ms bigint")
     return graph, stats

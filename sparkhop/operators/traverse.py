@@ -1,6 +1,10 @@
-"""Breadth-first search, one join a level.
+"""Breadth-first search, one join a level, or over gathered adjacency arrays.
 
-A level joins the edges, which stay partitioned by source, with the frontier,
+A base without pending changes whose edges are few (``ADJACENCY_EDGES``, counted
+when it was built) is searched in memory, as a small side of a join would be
+broadcast: both backends give the same rows and the same order of discovery.
+
+A level of the distributed form joins the edges, which stay partitioned by source, with the frontier,
 and drops targets that have been visited.  Spark broadcasts a small frontier at
 run time by its measured size.  Each level is checkpointed, so plans stay small
 and lost executors cost one level at most.
@@ -8,14 +12,19 @@ and lost executors cost one level at most.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
+from enum import Enum
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import checkpointed
 from ..errors import InvalidTraversal
 from ..plans.spec import Direction, TraversalSpec, TraversalStats
+from . import csr
 from .graph import Graph
 
 RESULT = "node_id bigint, depth int, path array<bigint>"
@@ -26,6 +35,22 @@ FOLD = 8
 ALPHA, BETA = 14, 24
 
 
+class Backend(Enum):
+    AUTO = "auto"
+    ADJACENCY = "adjacency"
+    DISTRIBUTED = "distributed"
+
+
+def choose(graph: Graph, backend: Backend) -> Backend:
+    """What runs: arrays need a clean graph, and unless they were gathered
+    before, one of few edges."""
+    if backend is Backend.AUTO:
+        return Backend.ADJACENCY if not graph.is_dirty and graph.adjacency() is not None else Backend.DISTRIBUTED
+    if backend is Backend.ADJACENCY and (graph.is_dirty or graph.adjacency() is None):
+        raise InvalidTraversal(reason="adjacency arrays need a graph without pending changes, and of few edges")
+    return backend
+
+
 @dataclass
 class Reached:
     """Visited nodes with their depth; ``rank`` is the order of discovery where
@@ -34,6 +59,7 @@ class Reached:
     rows: DataFrame
     edges: DataFrame
     directions: list[str] = field(default_factory=list)
+    took_us: int = 0
 
     def result(self) -> DataFrame:
         out = self.rows.select("node_id", "depth", F.lit(None).cast("array<bigint>").alias("path"))
@@ -56,7 +82,7 @@ class Reached:
         """Edges examined are all edges out of the nodes above ``max_depth``."""
         n, deepest = self.rows.agg(F.count(F.lit(1)), F.max("depth")).first()
         expanded = self.rows.where(F.col("depth") < max_depth).select(F.col("node_id").alias("source"))
-        return TraversalStats(n, self.edges.join(expanded, "source").count(), deepest or 0)
+        return TraversalStats(n, self.edges.join(expanded, "source").count(), deepest or 0, self.took_us)
 
 
 def _starts(graph: Graph, starts: tuple[int, ...] | list[int]) -> list[int]:
@@ -65,9 +91,27 @@ def _starts(graph: Graph, starts: tuple[int, ...] | list[int]) -> list[int]:
     return [s for s in dict.fromkeys(starts) if graph.contains(s)]
 
 
-def bfs(graph: Graph, starts: tuple[int, ...] | list[int], max_depth: int = 10, max_nodes: int | None = None, ordered: bool = False) -> Reached:
+def bfs(graph: Graph, starts: tuple[int, ...] | list[int], max_depth: int = 10, max_nodes: int | None = None, ordered: bool = False, backend: Backend = Backend.AUTO) -> Reached:
     """Nodes within ``max_depth`` hops of the starts; at most ``max_nodes``, in
     order of discovery (by parent, then by the edges' order)."""
+    began = time.perf_counter()
+    if choose(graph, backend) is Backend.ADJACENCY:
+        out = _in_memory(graph, starts, max_depth, max_nodes, ordered)
+    else:
+        out = _distributed(graph, starts, max_depth, max_nodes, ordered)
+    out.took_us = int((time.perf_counter() - began) * 1e6)
+    return out
+
+
+def _in_memory(graph: Graph, starts: tuple[int, ...] | list[int], max_depth: int, max_nodes: int | None, ordered: bool) -> Reached:
+    nodes, depth = csr.search(*graph.adjacency(), list(starts), max_depth, max_nodes)
+    columns, schema = {"node_id": nodes, "depth": depth}, "node_id bigint, depth int"
+    if ordered or max_nodes is not None:
+        columns["rank"], schema = np.arange(len(nodes)), schema + ", rank bigint"
+    return Reached(graph.spark.createDataFrame(pa.table(columns), schema), graph.base)
+
+
+def _distributed(graph: Graph, starts: tuple[int, ...] | list[int], max_depth: int, max_nodes: int | None, ordered: bool) -> Reached:
     spark, edges = graph.spark, graph.merged()
     first = _starts(graph, starts)
     ordered = ordered or max_nodes is not None

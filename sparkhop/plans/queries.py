@@ -181,8 +181,7 @@ def _recursive_cte(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _published(spark: SparkSession, d: str) -> None:
-    folder = shared_folder(spark).removeprefix("file:")
-    catalog = GraphCatalog(f"{folder}/catalog-{uuid.uuid4().hex}")
+    catalog = GraphCatalog(f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
     catalog.register("parts", part_graph(spark, d))
     g = _projected(spark, d)
     catalog.register("places", g.get("world.WITHIN"), dictionary=g.dictionary("world.WITHIN"))
@@ -324,12 +323,9 @@ QUERIES: dict[str, Query] = {
     "sql_udtf_keys": _sql_keys,
     "dobfs_equals_bfs": _dobfs,
     "snapshot_pinned_bfs": _snapshot,
-    # cut as their SQL is; the whole graph is in the _whole queries, which have no SQL
-    "pattern_two_hops": lambda s, d: _pattern(s, d).where("a < 20 and c % 10 = 0"),
-    "pattern_two_hops_whole": _pattern,
+    "pattern_two_hops": _pattern,
     "wcc": lambda s, d: analytics.weak_components(part_graph(s, d)),
-    "shortest_path_weight": lambda s, d: _shortest(s, d).where("distance <= 6"),
-    "shortest_path_weight_whole": _shortest,
+    "shortest_path_weight": _shortest,
     "gen_uniform_shape": _generated,
     "gen_rmat_degrees": _rmat,
 }
@@ -381,9 +377,9 @@ ORACLE: dict[str, str] = {
     "sql_udtf_keys": _KEYS_BFS,
     "dobfs_equals_bfs": bfs_sql(_P, [0], 3),
     "snapshot_pinned_bfs": bfs_sql(f"SELECT * FROM ({_P}) WHERE source % 2 = 0", [0], 3),
-    "pattern_two_hops": f"SELECT x.source AS a, x.target AS b, y.target AS c FROM ({_P}) x JOIN ({_P}) y ON x.target = y.source WHERE x.source < 20 AND y.target % 10 = 0",
+    "pattern_two_hops": f"SELECT x.source AS a, x.target AS b, y.target AS c FROM ({_P}) x JOIN ({_P}) y ON x.target = y.source",
     "wcc": f"WITH RECURSIVE e AS ({_P}), u AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), n AS (SELECT unnest(range((SELECT greatest(max(source), max(target)) + 1 FROM e)::BIGINT)) AS node_id), z(a, c) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT u.b, 0 FROM z JOIN u ON u.a = z.a) SELECT node_id, coalesce(z.c, CASE WHEN NOT EXISTS (SELECT 1 FROM u WHERE u.a = node_id) THEN node_id END) AS component FROM n LEFT JOIN z ON z.a = node_id",
-    "shortest_path_weight": f"WITH RECURSIVE e AS (SELECT source, target, ((source + target) % 5 + 1)::DOUBLE AS w FROM ({_P})), r(n, c) AS (SELECT 0::BIGINT, 0::DOUBLE UNION SELECT e.target, r.c + e.w FROM r JOIN e ON e.source = r.n WHERE r.c + e.w <= 6) SELECT n AS node_id, min(c) AS distance FROM r GROUP BY n",
+    "shortest_path_weight": f"WITH RECURSIVE e AS (SELECT source, target, ((source + target) % 5 + 1)::DOUBLE AS w FROM ({_P})), r(n, c) AS (SELECT 0::BIGINT, 0::DOUBLE UNION SELECT e.target, r.c + e.w FROM r JOIN e ON e.source = r.n WHERE r.c + e.w <= 60) SELECT n AS node_id, min(c) AS distance FROM r GROUP BY n",
     "gen_uniform_shape": "SELECT unnest(range(500))::BIGINT AS source, 4::BIGINT AS degree",
 }
 

@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 
 from sparkhop.errors import InvalidEdge, InvalidTraversal, MemoryLimitExceeded, NotImplementedYet, PlanError
-from sparkhop.operators import analytics, csr
+from sparkhop.operators import analytics, csr, stored
+from sparkhop.operators import graph as graph_module
+from sparkhop.operators.catalog import GraphCatalog
 from sparkhop.operators.graph import BuildConfig, CompactionPolicy, EdgeData, build_graph, graph_from_edges
-from sparkhop.operators.traverse import bfs, bfs_direction_optimized, traverse
+from sparkhop.operators.traverse import Backend, bfs, bfs_direction_optimized, choose, traverse
 from sparkhop.plans.spec import Algorithm, Direction, TraversalSpec
 
 TREE = [(0, 1), (0, 2), (1, 3), (1, 4), (2, 4)]
@@ -220,12 +222,80 @@ def test_analytics(spark):
     assert {r[0] for r in analytics.khop_by_joins(pairs, 0, 2).collect()} == {1, 2, 3, 4}
 
 
-def test_adjacency_files(spark, tmp_path):
-    g = graph_from_edges(spark, TREE)
-    assert csr.write(g, str(tmp_path / "g")) == 5
-    p, n = csr.read(str(tmp_path / "g"), reverse=True)
-    nodes, depth = csr.search(p, n, [4], 5)
-    assert dict(zip(nodes.tolist(), depth.tolist())) == {4: 0, 1: 1, 2: 1, 0: 2}
-    np.save(tmp_path / "g" / "neighbours.npy", np.zeros(2, np.uint32))
+def test_stored_graphs(spark, tmp_path, monkeypatch):
+    g = graph_from_edges(spark, [(s + 3, t + 3) for s, t in TREE] + [(0, 3), (0, 4)])
+    g.delta.insert(4, 40)
+    g.delta.delete(0, 4)
+    monkeypatch.setattr(stored, "ASKED", 2)  # a frontier in several reads
+    held = stored.write(g, f"file:{tmp_path}/g")
+    assert held["size"] == 41 and held["node_count"] == g.node_count
+    for reverse in (False, True):
+        turned = g.transpose() if reverse else g
+        for start in (0, 3, 4, 7):
+            for cap in (None, 0, 3):
+                want = [tuple(r) for r in bfs(turned, [start], 4, cap, ordered=True).rows.orderBy("rank").select("node_id", "depth").collect()]
+                got = [(n, d) for nodes, d in stored.search(held["path"], start, 4, cap, held["node_count"], held["size"], reverse) for n in nodes.tolist()]
+                assert got == want, (reverse, start, cap)
+    (next((tmp_path / "g" / "out").glob("*.parquet"))).write_bytes(b"broken")
     with pytest.raises(Exception, match="CSR-F001"):
-        csr.read(str(tmp_path / "g"))
+        list(stored.search(held["path"], 0, 2, None, held["node_count"], held["size"]))
+
+
+def test_backends_agree(spark):
+    r = np.random.default_rng(2)
+    g = graph_from_edges(spark, [(int(a), int(b)) for a, b in r.integers(0, 60, (150, 2))])
+    for cap in (None, 0, 1, 17, 1000):
+        rows = [bfs(g, [5, 9, 5, 999], 3, cap, ordered=True, backend=b).rows.orderBy("rank").collect() for b in (Backend.ADJACENCY, Backend.DISTRIBUTED)]
+        assert rows[0] == rows[1]
+    labels = [{tuple(x) for x in analytics.weak_components(g, b).collect()} for b in (Backend.ADJACENCY, Backend.DISTRIBUTED)]
+    assert labels[0] == labels[1]
+    g.delta.insert(5, 1)
+    assert choose(g, Backend.AUTO) is Backend.DISTRIBUTED
+    with pytest.raises(InvalidTraversal):
+        bfs(g, [5], backend=Backend.ADJACENCY)
+    big = graph_from_edges(spark, [(0, 1), (1, 2)])
+    assert big.adjacency(limit=1) is None and big.adjacency() is not None
+    found = bfs(big, [0], 2)
+    assert found.took_us > 0 and found.stats(2).execution_time_us == found.took_us
+
+
+def test_shards_by_number_and_by_bytes(spark):
+    rows = spark.range(1000).selectExpr("id as source", "(id * 7) % 1000 as target")
+    assert build_graph(rows, BuildConfig(shards=5))[1].first().shard_count == 5
+    g, stats = build_graph(rows, BuildConfig(shard_bytes=1600))
+    assert stats.first().shard_count == 10
+    where = {x.source: x.shard for x in g.shard_of(spark.range(20).withColumnRenamed("id", "node_id")).collect()}
+    assert sorted(where) == list(range(20)) and set(where.values()) <= set(range(10))
+
+
+def test_changes_during_compaction_stay(spark, monkeypatch):
+    finish = graph_module._finish
+
+    def slow(edges, *more):
+        g.delta.insert(7, 8)  # after the changes were taken, before the swap
+        g.delta.delete(5, 6)
+        g.delta.insert(0, 1)
+        return finish(edges, *more)
+
+    catalog = GraphCatalog()
+    g = graph_from_edges(spark, [(0, 1), (1, 2), (5, 6)])
+    catalog.register("live", g)
+    g.delta.insert(2, 3)
+    g.delta.delete(0, 1)
+    monkeypatch.setattr(graph_module, "_finish", slow)
+    assert catalog.compact_if_needed("live", CompactionPolicy(1))
+    monkeypatch.undo()
+    new = catalog.get("live")
+    assert edges(new.base) == [(1, 2), (2, 3), (5, 6)]
+    assert edges(new.merged()) == [(0, 1), (1, 2), (2, 3), (7, 8)]
+    g.delta.insert(9, 9)  # by a writer that still has the old graph
+    assert new.has_edge(9, 9)
+
+
+def test_failed_compaction_loses_nothing(spark, monkeypatch):
+    g = graph_from_edges(spark, [(0, 1)])
+    g.delta.insert(1, 2)
+    monkeypatch.setattr(graph_module, "_finish", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        g.compact()
+    assert edges(g.merged()) == [(0, 1), (1, 2)]

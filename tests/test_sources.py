@@ -120,5 +120,33 @@ def test_stream_of_changes(spark, tmp_path):
     assert sorted((r.source, r.target) for r in g.merged().collect()) == [(1, 2), (2, 3)] and len(g.delta) == 3
     sink.apply(spark.createDataFrame([("insert", 7, 8, None, 9)], schema), 0)  # a replayed batch
     assert not g.has_edge(7, 8)
-    with pytest.raises(errors.DeltaOverflow):
-        MutationSink(catalog, "live", CompactionPolicy(1)).apply(spark.createDataFrame(rows, schema), 5)
+    # more edges than the delta may hold are merged as a table
+    MutationSink(catalog, "live", CompactionPolicy(1)).apply(spark.createDataFrame(rows, schema), 5)
+    g = catalog.get("live")
+    assert sorted((r.source, r.target) for r in g.base.collect()) == [(1, 2), (2, 3)] and not g.is_dirty
+    bad = spark.createDataFrame([("insert", -1, 2, None, 1), ("insert", 3, 2, None, 1)], schema)
+    with pytest.raises(errors.InvalidEdge):
+        MutationSink(catalog, "live", CompactionPolicy(1)).apply(bad, 6)
+
+
+@pytest.mark.parametrize("limit", [100, 3, 1])
+def test_stream_state_outlives_a_restart(spark, tmp_path, limit):
+    """Changes are there after a restart, whether they were in the delta, in a
+    compacted base or merged as a table; offsets and state go on together."""
+    schema = "op string, source bigint, target bigint, weight double, at bigint"
+    parts = [[("insert", 2, 3, None, 1), ("delete", 0, 1, None, 2)], [("insert", 0, 1, None, 3), ("insert", 8, 9, None, 3), ("delete", 1, 2, None, 4)], [("insert", 4, 4, None, 5), ("delete", 8, 9, None, 6)]]
+    wanted = [[(1, 2), (2, 3)], [(0, 1), (2, 3), (8, 9)], [(0, 1), (2, 3), (4, 4)]]
+    for part, want in zip(parts, wanted):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
+        catalog = GraphCatalog()  # a new process
+        catalog.register("live", graph_from_edges(spark, [(0, 1), (1, 2)]))
+        sink = MutationSink(catalog, "live", CompactionPolicy(limit, 100.0), f"{tmp_path}/state")
+        query = start_mutations(spark.readStream.schema(schema).parquet(str(tmp_path / "changes")), sink, str(tmp_path / "offsets"))
+        query.processAllAvailable()
+        query.stop()
+        assert sorted((r.source, r.target) for r in catalog.get("live").merged().collect()) == want
+    again = GraphCatalog()
+    again.register("live", graph_from_edges(spark, [(0, 1), (1, 2)]))
+    sink = MutationSink(again, "live", CompactionPolicy(limit, 100.0), f"{tmp_path}/state")
+    sink.apply(spark.createDataFrame([("insert", 7, 7, None, 9)], schema), 2)  # a replayed batch
+    assert sorted((r.source, r.target) for r in again.get("live").merged().collect()) == wanted[-1]
