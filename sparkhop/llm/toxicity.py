@@ -106,6 +106,13 @@ class Lexicon:
         at = np.minimum(np.searchsorted(self.entry, entry), len(self.entry) - 1)
         return np.where(self.entry[at] == entry, self.weight[at], 0.0)
 
+    def heaviest(self, w: Stripped, data: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Weight of the heaviest entry of each of some words."""
+        out = np.zeros(len(which))
+        for at, entry in w.entries(data, which):
+            out[at] = np.maximum(out[at], self.weights(entry))
+        return out
+
 
 class Stripped(words.Words):
     """Words without the marks around them; words of marks only stay whole."""
@@ -122,17 +129,19 @@ class Stripped(words.Words):
             good = (a < b) & (a < self.end) & (b > self.start)
             self.start, self.end = np.where(good, a, self.start), np.where(good, b, self.end)
 
-    def entries(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(words, entry hash of each) for whole words and each beginning, of
-        the bytes ``data`` at the words' places."""
-        every = np.arange(len(self.start))
-        yield every, words.mix(words.span_hashes(data, self.start, self.end))
+    def entries(self, data: np.ndarray, which: np.ndarray | slice = slice(None)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(index among some words, entry hash) of whole words and each
+        beginning, of the bytes ``data`` at the words' places."""
+        start, end = self.start[which], self.end[which]
+        every = np.arange(len(start))
+        hashed = words.Spans(data)
+        yield every, words.mix(hashed.of(start, end))
         before = words.code_points(data)
         place = np.append(np.flatnonzero(np.diff(before)), len(data))  # of each code point
-        first, last = before[self.start], before[self.end]
+        first, last = before[start], before[end]
         for k in BEGINNINGS:
             at = every[last - first >= k]
-            yield at, words.span_hashes(data, self.start[at], place[first[at] + k])
+            yield at, hashed.of(start[at], place[first[at] + k])
 
 
 def features(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray:
@@ -146,17 +155,14 @@ def features(data: np.ndarray, offs: np.ndarray, lexicon: Lexicon) -> np.ndarray
         np.cumsum(mask, out=out[1:])
         return out
 
-    def heaviest(data: np.ndarray) -> np.ndarray:
-        out = np.zeros(total)
-        for at, entry in w.entries(data):
-            out[at] = np.maximum(out[at], lexicon.weights(entry))
-        return out
-
     of_text = lambda mask: np.diff(run(mask)[offs])
     of_word = lambda r: r[w.end] - r[w.start]
     h = w.hashes()
     undone = _PLAIN[w.data]
-    direct, plain = heaviest(w.data), heaviest(undone)
+    _, first, of = np.unique(h, return_index=True, return_inverse=True)  # each distinct word is looked up once
+    direct = lexicon.heaviest(w, w.data, first)[of]
+    plain, swapped = direct.copy(), np.flatnonzero(of_word(run(undone != w.data)) > 0)
+    plain[swapped] = lexicon.heaviest(w, undone, swapped)
     weight = np.maximum(direct, plain)
     hit = weight >= STEPS[1]
     size = np.diff(w.first)
@@ -351,11 +357,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, key: str
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offs in words.slices(batch):
+            for part, _, _ in words.slices(batch):
                 of = part.column(2).to_numpy(zero_copy_only=False)
                 x = np.zeros((part.num_rows, len(FEATURES)), np.float32)
                 for k in np.unique(of):
-                    x[of == k] = features(data, offs, lexicons[k])[of == k]
+                    x[of == k] = features(*words.buffers(part.column(1).filter(pa.array(of == k))), lexicons[k])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "fold", "toxic", "x"])
 
     held = sample.select("id", "text", "fold", "toxic").mapInArrow(measure, "id bigint, fold int, toxic int, x array<float>").toArrow()

@@ -79,16 +79,25 @@ def slices(batch: pa.RecordBatch, text: str = "text", chunk: int = CHUNK_BYTES)
         at = to
 
 
+class Spans:
+    """64-bit hashes of byte spans, the same in every process."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.run = np.empty(n + 1, np.uint64)
+        self.run[0] = 0
+        np.cumsum(_BYTE[data] * _power(_RADIX, n), out=self.run[1:])
+        self.scale = _power(_RADIX_INV, n + 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        return mix((self.run[end] - self.run[start]) * self.scale[start] + _U(0x51ED270B))
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, the same in every process."""
-    n = len(data)
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    run = np.empty(n + 1, np.uint64)
-    run[0] = 0
-    np.cumsum(_BYTE[data] * _power(_RADIX, n), out=run[1:])
-    h = (run[end] - run[start]) * _power(_RADIX_INV, n + 1)[start]
-    return mix(h + _U(0x51ED270B))
+    return Spans(data).of(start, end)
 
 
 class Words:
