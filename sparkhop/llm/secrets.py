@@ -4,13 +4,16 @@ A text's tokens are runs of value characters and runs of other marks.  The field
 tags each as outside, begin or inside of a secret from its shape, its
 neighbours, and rates of its whole text; Viterbi decoding runs over whole texts
 in blocks (max-plus products of 3 x 3 matrices, so the loop length does not
-follow the text).  It is trained on at most ``SAMPLE_ROWS`` documents, tagged by
-the base patterns, into which made-up secrets of further forms are planted with
-a fixed seed.  Base spans always stay; spans of the field that overlap none of
-them are added with kind ``crf``.
+follow the text).  It is trained on the whole texts of at most ``SAMPLE_ROWS``
+documents, tagged by the base patterns, into which made-up secrets of further
+forms are planted with a fixed seed.  Base spans always stay; spans of the field
+that overlap none of them are added with kind ``crf``.  The time for a text is
+linear in its length, however many spans it has.
 
 Defined results: null and empty texts have no spans; repeated rows give
-repeated rows.  Spans are in code points, end exclusive.
+repeated rows, and rows with a null key are scanned like others; an empty table
+gives no rows.  ``scan`` reads key and text alone and ``redact`` keeps all columns
+by place, so names cannot clash.  Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,10 @@ from . import words
 from .common import smallest_hashes
 
 SAMPLE_ROWS = 400
+#: Windows of a training text at most, and tokens of a window.
+WINDOWS, WIDTH = 64, 64
 LEAST_LENGTH = 8
+STRIPPED = b".,;:=\"'`-"
 KINDS = ("assign", "access", "hex", "crf")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -292,49 +299,74 @@ def _decoy(r: random.Random) -> str:
     )()
 
 
+def _planted(text: str, r: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """(text with made-up secrets and decoys between its lines, spans)."""
+    parts, spans, at = [], [], 0
+    for line in re.split(r"(?<=[.\n|])", text):
+        if r.random() < 0.08:
+            before, secret = _made_up(r)
+            line = f" {before}"
+            spans.append((at + len(line), at + len(line) + len(secret)))
+            line += secret + " "
+        elif r.random() < 0.08:
+            line = f" {_decoy(r)} "
+        parts.append(line)
+        at += len(line)
+    whole = "".join(parts)
+    spans += [m.span(2) for m in ASSIGN.finditer(whole) if len(m[2]) >= 8]
+    spans += [m.span() for m in re.finditer(r"[0-9a-f]{32,}|AKIA[A-Z0-9]{12,}", whole)]
+    return whole, spans
+
+
+def examples(text: str, r: random.Random) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, tags) of windows of a text with planted secrets: those with a
+    secret and a quarter of the others, of each kind half of ``WINDOWS`` at most,
+    drawn from all over the text.  Features are those of the whole text."""
+    whole, spans = _planted(text, r)
+    data, offs = words.buffers(pa.array([whole]))
+    cp = words.code_points(data)
+    tok = Tokens(data, offs)
+    tags = np.zeros(len(tok.start), np.int8)
+    a, b = cp[tok.start], cp[tok.end]
+    for s, e in spans:
+        i, j = np.searchsorted(b, s, side="right"), np.searchsorted(a, e)
+        hit = i + np.flatnonzero((b[i:j] - a[i:j] > 2) | ~tok.mark[i:j])
+        tags[hit[tags[hit] == 0]] = 2
+        if len(hit):
+            tags[hit[0]] = 1
+    x = tok.features()
+    kinds: tuple[list[int], list[int]] = ([], [])  # without and with a secret
+    for i in range(0, len(x), WIDTH):
+        some = bool(tags[i : i + WIDTH].any())
+        if some or r.random() < 0.25:
+            kinds[some].append(i)
+    starts = [i for held in kinds for i in (held if len(held) <= WINDOWS // 2 else r.sample(held, WINDOWS // 2))]
+    return [(x[i : i + WIDTH], tags[i : i + WIDTH]) for i in sorted(starts)]
+
+
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text", seed: int = 11) -> Field:
-    """A field from ``rows`` documents at most (smallest hashes of the key)."""
+    """A field from the whole texts of ``rows`` documents at most (smallest
+    hashes of the key), of each at most ``WINDOWS`` windows of ``WIDTH`` tokens."""
     chosen = smallest_hashes(docs.select(key).where(F.col(key).isNotNull()), key, rows).distinct()
     usable = docs.join(F.broadcast(chosen), key, "left_semi").where(F.length(F.col(text)) > 0)
-    held = usable.select(F.xxhash64(F.col(key)).alias("h"), F.substring(F.col(text), 1, 4000).alias("t")).limit(rows).collect()
-    sample = [r[1] for r in sorted(held)]  # the fit does not depend on the rows' order
-    r, width = random.Random(seed), 64
-    xs, ys = [], []
-    for t in [*sample, *["Nothing to see here."] * max(0, 100 - len(sample))]:
-        parts, spans, at = [], [], 0
-        for line in re.split(r"(?<=[.\n|])", t):
-            if r.random() < 0.08:
-                before, secret = _made_up(r)
-                line = f" {before}"
-                spans.append((at + len(line), at + len(line) + len(secret)))
-                line += secret + " "
-            elif r.random() < 0.08:
-                line = f" {_decoy(r)} "
-            parts.append(line)
-            at += len(line)
-        whole = "".join(parts)
-        for m in ASSIGN.finditer(whole):
-            if len(m[2]) >= 8:
-                spans.append(m.span(2))
-        spans += [m.span() for m in re.finditer(r"[0-9a-f]{32,}|AKIA[A-Z0-9]{12,}", whole)]
-        data, offs = words.buffers(pa.array([whole]))
-        cp = words.code_points(data)
-        tok = Tokens(data, offs)
-        tags = np.zeros(len(tok.start), np.int64)
-        a, b = cp[tok.start], cp[tok.end]
-        for s, e in spans:
-            hit = (a < e) & (b > s) & ((b - a > 2) | ~tok.mark)
-            tags[hit & (tags == 0)] = 2
-            if hit.any():
-                tags[np.argmax(hit)] = 1
-        x = tok.features()
-        for i in range(0, len(x), width):
-            if tags[i : i + width].any() or r.random() < 0.25:
-                xs.append(x[i : i + width])
-                ys.append(tags[i : i + width])
-    m = len(xs)
-    x, y, mask = np.zeros((m, width, xs[0].shape[1])), np.zeros((m, width), np.int64), np.zeros((m, width), bool)
-    for i, (a, b) in enumerate(zip(xs, ys)):
+    width = len(Tokens(*words.buffers(pa.array(["x"]))).features()[0])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = examples(t, random.Random(f"{seed}:{h}:{len(t)}"))
+                x, y = [np.ascontiguousarray(x, np.float32).tobytes() for x, _ in found], [y.tobytes() for _, y in found]
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(x), pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["h", "x", "y"])
+
+    shaped = usable.select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("t")).repartition(8)
+    held = sorted((r[0], bytes(r[2]), bytes(r[1])) for r in shaped.mapInArrow(made, "h bigint, x binary, y binary").collect())  # the fit does not depend on the rows' order
+    found = [(np.frombuffer(x, np.float32).reshape(-1, width), np.frombuffer(y, np.int8)) for _, y, x in held]
+    r = random.Random(seed)
+    for _ in range(max(0, 100 - len({h for h, *_ in held}))):
+        found += examples("Nothing to see here.", r)
+    m = len(found)
+    x, y, mask = np.zeros((m, WIDTH, width)), np.zeros((m, WIDTH), np.int64), np.zeros((m, WIDTH), bool)
+    for i, (a, b) in enumerate(found):
         x[i, : len(a)], y[i, : len(a)], mask[i, : len(a)] = a, b, True
     return Field.fit(x, y, mask)
 
@@ -352,21 +384,34 @@ def find(data: np.ndarray, offs: np.ndarray, texts: list[str | None], field: Fie
     stop = np.flatnonzero(~goes_on)
     following = np.searchsorted(stop, at, side="right")
     last = np.where(following < len(stop), stop[np.minimum(following, len(stop) - 1)], len(tags)) - 1
-    for i, j in zip(at.tolist(), last.tolist()):
-        row, start, end = int(tok.row[i]), int(tok.start[i]), int(tok.end[j])
+    cp = words.code_points(data)
+    taken = [_union(spans) for spans in out]
+    for row, start, end in zip(tok.row[at].tolist(), tok.start[at].tolist(), tok.end[last].tolist()):
         raw = data[start:end].tobytes()
-        kept = raw.strip(b".,;:=\"'`-")
-        if len(kept) < LEAST_LENGTH:
+        start += len(raw) - len(raw.lstrip(STRIPPED))
+        end -= len(raw) - len(raw.rstrip(STRIPPED))
+        if end - start < LEAST_LENGTH:
             continue
-        start += raw.index(kept[:1]) if kept else 0
-        head = data[offs[row] : start]
-        a = int(np.count_nonzero((head & 0xC0) != 0x80))
-        span = (a, 3, a + len(kept.decode("utf-8", "replace")))
-        if all(span[2] <= s or span[0] >= e for s, _, e in out[row]):
-            out[row].append(span)
+        a, b = int(cp[start] - cp[offs[row]]), int(cp[end] - cp[offs[row]])
+        starts, ends = taken[row]
+        before = bisect_left(starts, b)  # of these the last ends last
+        if not before or ends[before - 1] <= a:
+            out[row].append((a, 3, b))
     return [sorted(spans) for spans in out]
 
 
+def _union(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint runs that sorted spans cover."""
+    starts, ends = [], []
+    for s, _, e in spans:
+        if starts and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -377,7 +422,7 @@ def scan(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offs in words.slices(batch, text):
+            for part, data, offs in words.slices(batch, "t"):
                 found = find(data, offs, part.column(1).to_pylist(), shared.value)
                 base = [[s for s in spans if s[1] < 3] for spans in found]
                 counts = [pa.array([sum(s[1] == k for s in spans) for spans in base], pa.int64()) for k in range(3)]
@@ -385,7 +430,7 @@ def scan(docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(digest, pa.string()), pa.array(list(map(joined, found)), pa.string())], names=[key, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(rows, f"`{key}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(rows, f"`{key}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, field: Field, text: str = "text", mark: str = "[SECRET]", size: str | None = "n_chars") -> DataFrame:

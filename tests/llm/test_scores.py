@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -193,6 +194,42 @@ def test_secret_query(spark, docs, empty, texts, field):
     assert secrets.scan(empty, field).count() == 0
 
 
+def test_secrets_in_a_long_log_take_linear_time(field):
+    """100,000 spans of all kinds: found as by the plain patterns, in seconds."""
+    r = random.Random(5)
+    line = lambda i: f"é{i} token={r.randrange(10**12):012d}aX AKIA{r.randrange(10**14):016d} ghp_{''.join(r.choices('abcXYZ019', k=36))}"
+    t = "\n".join(line(i) for i in range(34_000))
+    data, offs = words.buffers(pa.array(["", t]))
+    began = time.process_time()
+    none, spans = secrets.find(data, offs, ["", t], field)
+    assert time.process_time() - began < 60 and none == []
+    base = [s for s in spans if s[1] < 3]
+    assert [(a, k, b) for a, k, b in base] == naive_base(t) and len(base) == 68_000
+    assert len(spans) > 95_000
+    end = 0
+    for a, k, b in spans:  # what the field adds overlaps nothing
+        assert k < 3 or a >= end
+        assert k != 3 or "ghp_" in t[a:b] or "é" in t[a:b] or b - a >= 8
+        end = max(end, b)
+
+
+def test_secret_training_reads_whole_texts(spark):
+    late = "plain words here. " * 3000
+    one = secrets.examples(late, random.Random(1))
+    assert 0 < len(one) <= secrets.WINDOWS and any((y > 0).any() for _, y in one)
+    base = secrets.examples("x " * 30_000 + "password=abcdefgh1234", random.Random(2))  # 60,000 characters in
+    assert any((y == 1).any() for _, y in base)
+
+
+def test_secret_rows_of_any_kind(spark, field):
+    rows = [(None, HIDDEN[0], "a"), (None, None, None), (1, HIDDEN[0], None), (1, HIDDEN[0], "b")]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, spans string"), field).collect()
+    assert len(got) == 4 and len({r.spans for r in got}) == 2
+    red = secrets.redact(spark.createDataFrame(rows, "doc_id bigint, text string, spans string"), field)
+    assert red.columns == ["doc_id", "text", "spans"] and red.count() == 4
+    assert secrets.redact(red.limit(0), field).count() == 0
+
+
 def test_the_field_finds_further_forms(field):
     r, found, wrong = random.Random(99), 0, 0
     for _ in range(300):
