@@ -10,14 +10,18 @@ extended window by window, each window by a 128-bit hash of its words, which
 finds the repeated part exactly.  Runs of repeated windows are the maximal
 repeats.
 
-Documents are grouped in blocks of about ``BLOCK_ROWS`` by a hash of their key.
-What a block sends is pre-aggregated (its smallest document for each different
-content), and replies go to blocks, so a passage that a third of all documents
-share sends one row a block.  Nothing is dropped or capped.
+Documents are grouped by a hash of their key in blocks of about ``BLOCK_BYTES``
+of text, and at most about ``BLOCK_ROWS`` documents.  What a block sends is
+pre-aggregated (its smallest document for each different content), and replies go
+to blocks, so a passage that a third of all documents share sends one row a
+block, of about 30 bytes for ``BLOCK_BYTES`` of text; the task that compares such
+an anchor sorts those rows, spilling where it must.  Nothing is dropped or capped.
 
 Defined results: null, empty and short texts keep all their words; a repeat
 within one document alone is kept; rows with equal keys are one document to each
 other (neither is smaller); a row without a key neither gives nor loses words.
+Keys that are no whole numbers are ordered as Spark orders them.  Columns of any
+name stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,12 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..durable import numbered
 from . import words
 
 WINDOW = 13
 SEED = 5
-BLOCK_ROWS = 400
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4000
 
 _U = np.uint64
 _STEP = 0xD1342543DE82EF95
@@ -225,8 +231,8 @@ def _dedup(docs: DataFrame, key: str, finish: Finish, schema: str) -> DataFrame:
     """``finish`` of each part of a block, its words, and which are repeated.
     docs: a key, ``text`` and further columns, none named ``block`` or (but for
     the key) ``key``; rows with a null key are left out."""
-    n = docs.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_ROWS), -(-size // BLOCK_BYTES))
     rows = docs.where(F.col(key).isNotNull()).withColumn("key", F.col(key).cast("bigint")).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     # all three groupings below take these same rows, so one exchange of the texts serves them
     reaches = rows.groupBy("block").applyInArrow(_send_reaches, "anchor bigint, content bigint, block bigint, key bigint")
@@ -248,6 +254,12 @@ def _dedup(docs: DataFrame, key: str, finish: Finish, schema: str) -> DataFrame:
     return rows.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(last, schema)
 
 
+def _ranked(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(docs with the rank of their key, keys and ranks); a null key has none."""
+    ranks = numbered(docs.where(F.col(key).isNotNull()).select(key).distinct(), [key], "rank")
+    return docs.join(ranks, key, "left"), ranks
+
+
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of each row."""
 
@@ -265,6 +277,11 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         return pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(removed), pa.array(digest, pa.string())], names=["key", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema[key].dataType
+    if not isinstance(kind, IntegralType):
+        slim = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        ranked, ranks = _ranked(slim, "k")
+        done = digests(ranked.drop("k"), "rank").join(ranks, "rank", "left")
+        return done.select(F.col("k").alias(key), "n_words", "n_removed", "kept_sha256")
     slim = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ws = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
     alone = slim.where("key is null").select("key", F.size(ws).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), F.sha2(F.array_join(ws, " "), 256).alias("kept_sha256"))
@@ -274,14 +291,18 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = "n_chars") -> DataFrame:
     """All rows and columns; repeated words are cut from the text together with
-    the white space after them, and ``size``, if there, is counted again.  The
-    columns ``key`` and ``block`` are reserved while this runs."""
+    the white space after them, and ``size``, if there, is counted again."""
     columns = docs.columns
     at = columns.index(text)
     size_at = columns.index(size) if size in columns else None
     inner = [f"c{i}" if i != at else "text" for i in range(len(columns))]
     plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, inner)))
     key_at = inner[columns.index(key)]
+    if not isinstance(plain.schema[key_at].dataType, IntegralType):
+        ranked, _ = _ranked(plain, key_at)
+        done = remove(ranked.withColumnRenamed(inner[size_at], "n_chars") if size_at is not None else ranked, "rank", "text", "n_chars" if size_at is not None else None)
+        done = done.withColumnRenamed("n_chars", inner[size_at]) if size_at is not None else done
+        return done.select(*(F.col(n).alias(c) for n, c in zip(inner, columns)))
     schema = plain.schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
