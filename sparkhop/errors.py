@@ -22,7 +22,7 @@ class GraphError(Exception):
     """Base of all errors; subclasses fix the code and the message's shape."""
 
     code = "SYS-E002"
-    template = "Internal error: {message}"
+    template = "Something went wrong inside: {message}"
     retryable = False
 
     def __init__(self, **context: object):
@@ -46,29 +46,29 @@ def _error(name: str, code: str, template: str, retryable: bool = False) -> type
     return type(name, (GraphError,), {"code": code, "template": template, "retryable": retryable, "__module__": __name__})
 
 
-Internal = _error("Internal", "SYS-E002", "Internal error: {message}")
-CircuitOpen = _error("CircuitOpen", "SYS-E001", "Circuit breaker open, failing fast", retryable=True)
-OutOfMemory = _error("OutOfMemory", "CSR-E001", "Out of memory (requested {requested} bytes, available {available})", retryable=True)
-InvalidEdge = _error("InvalidEdge", "CSR-E002", "Invalid edge: source {source} or target {target} out of range")
-UnsupportedGraphSize = _error("UnsupportedGraphSize", "CSR-E003", "Unsupported graph size: {reason}")
+Internal = _error("Internal", "SYS-E002", "Something went wrong inside: {message}")
+CircuitOpen = _error("CircuitOpen", "SYS-E001", "Calls are refused for now: too many have failed", retryable=True)
+OutOfMemory = _error("OutOfMemory", "CSR-E001", "{requested} bytes were asked for and {available} are free", retryable=True)
+InvalidEdge = _error("InvalidEdge", "CSR-E002", "Edge {source} -> {target} has an end that is no node id")
+UnsupportedGraphSize = _error("UnsupportedGraphSize", "CSR-E003", "A graph of this size cannot be built: {reason}")
 ShardCorruption = _error("ShardCorruption", "CSR-F001", "Stored adjacency {path} is damaged ({reason})")
-DeltaOverflow = _error("DeltaOverflow", "DLT-E001", "Delta overflow ({count} entries exceed {threshold})")
-CompactionFailed = _error("CompactionFailed", "DLT-E002", "Compaction failed: {reason}")
-NodeNotFound = _error("NodeNotFound", "TRV-E001", "Node {node} not found in graph")
-InvalidTraversal = _error("InvalidTraversal", "TRV-E002", "Invalid traversal: {reason}")
-TraversalTimeout = _error("TraversalTimeout", "TRV-E003", "Traversal timed out after {seconds} s at depth {depth}", retryable=True)
-CycleLimitExceeded = _error("CycleLimitExceeded", "TRV-E004", "Cycle limit exceeded at node {node}")
-MemoryLimitExceeded = _error("MemoryLimitExceeded", "MEM-E001", "Memory limit exceeded (limit {limit} bytes, requested {requested})", retryable=True)
-OntologyParse = _error("OntologyParse", "ONT-E001", "Cannot parse {kind}: {reason}")
-MissingField = _error("MissingField", "ONT-E002", "Missing field '{field}' in {where}")
-DanglingEdge = _error("DanglingEdge", "ONT-E003", "Edge '{edge}' references undefined node '{node}'")
-DuplicateLabel = _error("DuplicateLabel", "ONT-E004", "Duplicate {kind} label '{label}'")
-TypeMismatch = _error("TypeMismatch", "ONT-E005", "Type mismatch for '{field}': expected {expected}, got {actual}")
-OntologyIo = _error("OntologyIo", "ONT-E006", "Cannot read ontology: {reason}")
-ComputedPropertyTarget = _error("ComputedPropertyTarget", "ONT-E007", "Computed property '{name}' must target exactly one of node or edge")
-PlanError = _error("PlanError", "DFN-E001", "Plan generation failed: {reason}")
-ExecutionError = _error("ExecutionError", "DFN-E002", "Execution failed: {reason}")
-NotImplementedYet = _error("NotImplementedYet", "DFN-E003", "Not implemented: {feature}")
-ArrowInterchange = _error("ArrowInterchange", "FFI-E001", "Arrow interchange failed: {reason}")
-NullPointer = _error("NullPointer", "FFI-E002", "Null pointer for {argument}")
-InvalidArrowSchema = _error("InvalidArrowSchema", "FFI-E003", "Invalid schema: {reason}")
+DeltaOverflow = _error("DeltaOverflow", "DLT-E001", "{count} pending changes are more than the {threshold} that are allowed")
+CompactionFailed = _error("CompactionFailed", "DLT-E002", "Pending changes could not be merged: {reason}")
+NodeNotFound = _error("NodeNotFound", "TRV-E001", "There is no node {node}")
+InvalidTraversal = _error("InvalidTraversal", "TRV-E002", "This traversal makes no sense: {reason}")
+TraversalTimeout = _error("TraversalTimeout", "TRV-E003", "Stopped after {seconds} s, at depth {depth}", retryable=True)
+CycleLimitExceeded = _error("CycleLimitExceeded", "TRV-E004", "Too many cycles through node {node}")
+MemoryLimitExceeded = _error("MemoryLimitExceeded", "MEM-E001", "{requested} bytes are needed, the limit is {limit}", retryable=True)
+OntologyParse = _error("OntologyParse", "ONT-E001", "Not valid {kind}: {reason}")
+MissingField = _error("MissingField", "ONT-E002", "'{field}' has to be given in {where}")
+DanglingEdge = _error("DanglingEdge", "ONT-E003", "Edge '{edge}' names a node '{node}' that is not defined")
+DuplicateLabel = _error("DuplicateLabel", "ONT-E004", "Two definitions of {kind} '{label}'")
+TypeMismatch = _error("TypeMismatch", "ONT-E005", "'{field}' should be {expected} and is {actual}")
+OntologyIo = _error("OntologyIo", "ONT-E006", "The ontology file could not be read: {reason}")
+ComputedPropertyTarget = _error("ComputedPropertyTarget", "ONT-E007", "Computed property '{name}' needs a node or an edge, and not both")
+PlanError = _error("PlanError", "DFN-E001", "No plan: {reason}")
+ExecutionError = _error("ExecutionError", "DFN-E002", "A step failed while it ran: {reason}")
+NotImplementedYet = _error("NotImplementedYet", "DFN-E003", "This engine does not do that yet: {feature}")
+ArrowInterchange = _error("ArrowInterchange", "FFI-E001", "Arrow data could not be passed on: {reason}")
+NullPointer = _error("NullPointer", "FFI-E002", "{argument} is null")
+InvalidArrowSchema = _error("InvalidArrowSchema", "FFI-E003", "Unusable Arrow schema: {reason}")

@@ -186,6 +186,11 @@ class Graph:
             return True
         return not self.base.where((F.col("source") == source) & (F.col("target") == target)).isEmpty()
 
+    def has_edges(self, asked: DataFrame) -> DataFrame:
+        """(source, target, found) of each row of a table (source, target)."""
+        held = self.merged().select("source", "target").distinct().withColumn("found", F.lit(True))
+        return asked.join(held, ["source", "target"], "left").select("source", "target", F.coalesce("found", F.lit(False)).alias("found"))
+
     def out_degree(self, node: int) -> int:
         return self.merged().where(F.col("source") == node).count()
 

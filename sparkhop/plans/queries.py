@@ -13,13 +13,14 @@ from ..functions.ids import digits_of, valid_at
 from ..functions.sql import register_sql_functions
 from ..operators import analytics
 from ..operators.catalog import GraphCatalog
-from ..operators.graph import BuildConfig, Graph, build_graph
+from ..operators.graph import BuildConfig, CompactionPolicy, Graph, build_graph
 from ..operators.project import register_ontology_graphs
 from ..operators.provider import EdgeTable
-from ..operators.traverse import bfs, bfs_direction_optimized
+from ..operators.traverse import Backend, bfs, bfs_direction_optimized
 from ..sources import generators
 from ..sources.tables import SnapshotTable
 from .ontology import EdgeDefinition, NodeDefinition, Ontology, Settings
+from .spec import TraversalSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = "2024-01-15 00:00:00"
@@ -221,10 +222,10 @@ def _weighted(spark: SparkSession, d: str) -> DataFrame:
     return g.merged().groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("weight") == 1.0).cast("bigint")).alias("ones"), F.max("weight").cast("double").alias("largest"))
 
 
-def _shortest(spark: SparkSession, d: str) -> DataFrame:
+def _shortest(spark: SparkSession, d: str, backend: Backend = Backend.AUTO) -> DataFrame:
     # whole weights, so that sums are exact
     e = part_edges(spark, d).withColumn("w", ((F.col("source") + F.col("target")) % 5 + 1).cast("double"))
-    return analytics.shortest_paths(build_graph(e, BuildConfig(weight="w"))[0], 0).select("node_id", "distance")
+    return analytics.shortest_paths(build_graph(e, BuildConfig(weight="w"))[0], 0, backend).select("node_id", "distance")
 
 
 def _transposed(spark: SparkSession, d: str) -> DataFrame:
@@ -238,8 +239,7 @@ def _degrees(column: str) -> Query:
 def _has_edges(spark: SparkSession, d: str) -> DataFrame:
     g = part_graph(spark, d)
     asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), (F.col("s_suppkey") * 7).alias("target"))
-    held = g.merged().select("source", "target").distinct().withColumn("found", F.lit(True))
-    return asked.join(held, ["source", "target"], "left").select("source", "target", F.coalesce("found", F.lit(False)).alias("found"))
+    return g.has_edges(asked)
 
 
 def _statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -264,6 +264,57 @@ def _chained(spark: SparkSession, d: str) -> DataFrame:
     return analytics.khop_by_joins(part_edges(spark, d), 0, 3).agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def _null_ends(spark: SparkSession, d: str) -> DataFrame:
+    e = event_edges(spark, d).withColumns({"source": F.when(F.col("event_id") % 7 != 0, F.col("source")), "target": F.when(F.col("event_id") % 11 != 0, F.col("target"))})
+    return build_graph(e)[0].merged().groupBy("source").agg(F.count("target").alias("degree"))
+
+
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    return bfs(part_graph(spark, d), [0], 3).rows.orderBy("depth", "node_id").limit(700)
+
+
+def _catalog(spark: SparkSession, d: str, graph: Graph) -> GraphCatalog:
+    catalog = GraphCatalog()
+    catalog.register("parts", graph)
+    return catalog
+
+
+def _reversed(spark: SparkSession, d: str) -> DataFrame:
+    return _catalog(spark, d, part_graph(spark, d)).reach("parts", 3, 2, direction="in").rows
+
+
+def _provided(spark: SparkSession, d: str) -> DataFrame:
+    return _edge_table(spark, d).traverse(TraversalSpec((0,), 2)).rows
+
+
+def _memory(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(_changed(spark, d).memory_usage(),)], "memory_bytes bigint")
+
+
+def _policies(spark: SparkSession, d: str) -> DataFrame:
+    g = _changed(spark, d)
+    policies = [(n, ratio, g.should_compact(CompactionPolicy(n, ratio))) for n in (4, 5, 6) for ratio in (0.0, 1.0)]
+    return spark.createDataFrame(policies, "entries int, ratio double, due boolean")
+
+
+def _compacted(spark: SparkSession, d: str) -> DataFrame:
+    catalog = _catalog(spark, d, _changed(spark, d))
+    catalog.compact_if_needed("parts", CompactionPolicy(1))
+    catalog.get("parts").delta.insert(2, 1)
+    return catalog.get("parts").merged().select("source", "target")
+
+
+def _absorbed(spark: SparkSession, d: str) -> DataFrame:
+    """Each part that is a multiple of 3 loses its edges to multiples of 4 and
+    gains one to itself, as one table of changes."""
+    edges = part_edges(spark, d).where("source % 3 = 0")
+    gone = edges.where("target % 4 = 0 and source <> target").select(F.lit("delete").alias("op"), "source", "target")
+    new = edges.select(F.lit("insert").alias("op"), "source", F.col("source").alias("target")).distinct()
+    catalog = _catalog(spark, d, part_graph(spark, d))
+    catalog.absorb("parts", gone.unionByName(new).withColumn("weight", F.lit(None).cast("double")))
+    return catalog.get("parts").merged().select("source", "target")
+
+
 def _generated(spark: SparkSession, d: str) -> DataFrame:
     return generators.uniform(spark, 500, 4, 42).groupBy("source").agg(F.count(F.lit(1)).alias("degree"))
 
@@ -326,6 +377,19 @@ QUERIES: dict[str, Query] = {
     "pattern_two_hops": _pattern,
     "wcc": lambda s, d: analytics.weak_components(part_graph(s, d)),
     "shortest_path_weight": _shortest,
+    "null_ends_dropped": _null_ends,
+    "ordered_reach_limit": _ordered,
+    "catalog_reverse_bfs": _reversed,
+    "provider_traversal": _provided,
+    "base_neighbors": lambda s, d: _changed(s, d).neighbors(0, base_only=True),
+    "graph_memory": _memory,
+    "compaction_policy": _policies,
+    "catalog_compact_edges": _compacted,
+    "changes_merged_as_table": _absorbed,
+    "shortest_path_distributed": lambda s, d: _shortest(s, d, Backend.DISTRIBUTED),
+    "khop_distributed": lambda s, d: bfs(part_graph(s, d), [0], 3, backend=Backend.DISTRIBUTED).rows,
+    "gen_uniform_edges": lambda s, d: generators.uniform(s, 500, 4, 42),
+    "gen_rmat_edges": lambda s, d: generators.rmat(s, 6, 8, 42),
     "gen_uniform_shape": _generated,
     "gen_rmat_degrees": _rmat,
 }
@@ -336,6 +400,16 @@ _KEYS_BFS = f"WITH e AS ({KEYS_SQL}) SELECT {_KEY_START} AS node_key, 0::INTEGER
 _ALIVE = f"SELECT source, target, event_id FROM ({_E}) WHERE valid_from <= TIMESTAMP '{AS_OF}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{AS_OF}')"
 _REVERSE = f"SELECT target AS source, source AS target FROM ({_P})"
 _COUNT = "SELECT count(DISTINCT n) AS nodes FROM r"
+_NEW_DELTA = f"{DELTA_SQL} UNION ALL SELECT 2::BIGINT, 1::BIGINT WHERE (2, 1) NOT IN (SELECT (source, target) FROM ({PARTS_SQL}))"
+
+
+def draws_sql(seed: int, n: int) -> str:
+    """x(i, s): the first draws of a seed by the steps of xorshift64."""
+    step = lambda x, to, by: f"xor({x}, {to})" if by is None else f"xor({x}, ({x} & {(1 << (64 - by)) - 1}::UBIGINT) << {by})"
+    return (
+        f"x(i, s) AS (SELECT 0::BIGINT, {seed}::UBIGINT UNION ALL SELECT i + 1, {step('b', '', 17)} FROM "
+        f"(SELECT i, {step('a', 'a >> 7', None)} AS b FROM (SELECT i, {step('s', '', 13)} AS a FROM x WHERE i < {n})))"
+    )
 
 ORACLE: dict[str, str] = {
     "khop_bfs_1": bfs_sql(_P, [0], 1),
@@ -380,6 +454,19 @@ ORACLE: dict[str, str] = {
     "pattern_two_hops": f"SELECT x.source AS a, x.target AS b, y.target AS c FROM ({_P}) x JOIN ({_P}) y ON x.target = y.source",
     "wcc": f"WITH RECURSIVE e AS ({_P}), u AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e), n AS (SELECT unnest(range((SELECT greatest(max(source), max(target)) + 1 FROM e)::BIGINT)) AS node_id), z(a, c) AS (SELECT 0::BIGINT, 0::BIGINT UNION SELECT u.b, 0 FROM z JOIN u ON u.a = z.a) SELECT node_id, coalesce(z.c, CASE WHEN NOT EXISTS (SELECT 1 FROM u WHERE u.a = node_id) THEN node_id END) AS component FROM n LEFT JOIN z ON z.a = node_id",
     "shortest_path_weight": f"WITH RECURSIVE e AS (SELECT source, target, ((source + target) % 5 + 1)::DOUBLE AS w FROM ({_P})), r(n, c) AS (SELECT 0::BIGINT, 0::DOUBLE UNION SELECT e.target, r.c + e.w FROM r JOIN e ON e.source = r.n WHERE r.c + e.w <= 60) SELECT n AS node_id, min(c) AS distance FROM r GROUP BY n",
+    "null_ends_dropped": f"SELECT source, count(*) AS degree FROM ({_E}) WHERE event_id % 7 <> 0 AND event_id % 11 <> 0 GROUP BY source",
+    "ordered_reach_limit": bfs_sql(_P, [0], 3, select="SELECT n AS node_id, min(d)::INTEGER AS depth FROM r GROUP BY n ORDER BY depth, node_id LIMIT 700"),
+    "catalog_reverse_bfs": bfs_sql(_REVERSE, [3], 2),
+    "provider_traversal": bfs_sql(f"{_P} UNION ALL SELECT source, target FROM ({_E})", [0], 2),
+    "base_neighbors": f"SELECT target FROM ({_P}) WHERE source = 0",
+    "graph_memory": f"SELECT (4 * (greatest(max(source), max(target)) + 2) + 4 * count(*) + 2 * 48 + 3 * 16)::BIGINT AS memory_bytes FROM ({_P})",
+    "compaction_policy": "SELECT entries::INTEGER AS entries, ratio::DOUBLE AS ratio, entries <= 5 OR ratio = 0 AS due FROM (VALUES (4), (5), (6)) a(entries), (VALUES (0), (1)) b(ratio)",
+    "catalog_compact_edges": _NEW_DELTA,
+    "changes_merged_as_table": f"SELECT source, target FROM ({_P}) WHERE NOT (source % 3 = 0 AND target % 4 = 0 AND source <> target) UNION SELECT source, source FROM ({_P}) WHERE source % 3 = 0",
+    "shortest_path_distributed": f"WITH RECURSIVE e AS (SELECT source, target, ((source + target) % 5 + 1)::DOUBLE AS w FROM ({_P})), r(n, c) AS (SELECT 0::BIGINT, 0::DOUBLE UNION SELECT e.target, r.c + e.w FROM r JOIN e ON e.source = r.n WHERE r.c + e.w <= 60) SELECT n AS node_id, min(c) AS distance FROM r GROUP BY n",
+    "khop_distributed": bfs_sql(_P, [0], 3),
+    "gen_uniform_edges": f"WITH RECURSIVE {draws_sql(42, 2000)} SELECT ((i - 1) // 4)::BIGINT AS source, (s % 500)::BIGINT AS target FROM x WHERE i > 0",
+    "gen_rmat_edges": f"WITH RECURSIVE {draws_sql(42, 3072)}, q AS (SELECT (i - 1) // 6 AS e, 1 << (5 - (i - 1) % 6) AS place, (s & 65535 >= {generators.RMAT_LIMITS[0]})::INTEGER + (s & 65535 >= {generators.RMAT_LIMITS[1]})::INTEGER + (s & 65535 >= {generators.RMAT_LIMITS[2]})::INTEGER AS quadrant FROM x WHERE i > 0) SELECT sum((quadrant >> 1) * place)::BIGINT AS source, sum((quadrant & 1) * place)::BIGINT AS target FROM q GROUP BY e",
     "gen_uniform_shape": "SELECT unnest(range(500))::BIGINT AS source, 4::BIGINT AS degree",
 }
 
