@@ -22,8 +22,14 @@ def _step(label: DataFrame, both: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of ``links`` (a, b): the smallest node
     that can be reached.  Each step takes the least label among neighbours and
-    then the label's own label, until nothing changes; sums over a node are
-    pre-aggregated, so a node with many links is no hot task."""
+    then the label's own label, until nothing changes; minima over a node are
+    pre-aggregated before they are exchanged.  The two joins have one row for each
+    node or label on one side; a node with very many links, or a label of very many
+    nodes, is split by Spark's skew join, as both sides come from exchanges.
+
+    Defined results: links with a null end are left out, links of a node to itself
+    too, so a node that has no others is not in the result; repeated links count
+    once; no links give no rows; further columns are not read."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = checkpointed(both.where("a <> b").distinct())
     label = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component"))

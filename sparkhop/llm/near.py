@@ -3,9 +3,11 @@
 A document's set is its distinct word shingles.  Equal sets are one class and
 stand in the join once.  ``TREES`` independent trees branch the classes: a node
 is a path of minwise tokens, and a class is in the node if its set has those
-minwise tokens.  All trees start at depth ``DEPTH``; two sets of similarity s
-share a node at depth d with probability s**d in each tree, so at the threshold
-of 0.75 a pair is missed with probability 5e-6.
+minwise tokens.  All trees start at depth ``DEPTH``, each with minwise functions
+of its own; two sets of similarity s share a node at depth d with probability
+s**d in each tree, so at the threshold of 0.75 a pair is missed with probability
+5e-6, and a little more (up to 3e-5) where it is only found below nodes that
+branch.
 
 Nodes are compared exhaustively: first all pairs by their signatures, then those
 that agree in ``LOOSE`` of ``TOKENS`` places (4.5 standard deviations below the
@@ -14,13 +16,17 @@ are confirmed once for all trees; nodes of up to ``MIDDLE`` are compared inside
 one task, which sends a spanning forest of the links it has confirmed.  A larger
 node compares its members with one pivot.  Then only members of different
 components need comparing: if such pairs are few, they are compared; else the
-node branches by selected tokens.  So no step makes more rows than a small
-multiple of its nodes' members, and nothing is capped.
+node branches by selected tokens.  What is still large at ``LAST_DEPTH``, and any
+node whose sets are too large for one task, is dealt into blocks, and each two
+blocks are compared like a node: m members make m times the number of blocks as
+rows, never their pairs.  So nothing is capped, and no task holds more than
+``MIDDLE`` members or about ``SHINGLES`` shingles (one longer text aside).
 
 Defined results: null and empty texts, and texts without words, have the empty
 set and are linked with nothing; texts of fewer words than a shingle have their
 whole word sequence as one; repeated rows are one class; a row without a key
-stays alone (null component).
+stays alone (null component); an empty table gives no rows.  Key and text alone
+are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
@@ -45,13 +51,18 @@ DEPTH = 4
 SMALL, MIDDLE = 8, 2048
 #: Pairs of different components, per member, that are few.
 FEW = 4
-#: Depth from which large nodes are not branched further.
+#: Depth from which large nodes are dealt into blocks, not branched further.
 LAST_DEPTH = 18
+#: Shingles whose texts are compared inside one task.
+SHINGLES = 4_000_000
+#: A class of at least 1 / HOT of all rows gets its result by a broadcast of at
+#: most HOT rows, so no task joins all its copies.
+HOT = 1000
 LOOSE = 0.57
 
 _MULTIPLY = words.mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = words.mix(np.arange(1001, 1001 + TOKENS, dtype=np.uint64))
-_PLACES = np.random.default_rng(7).permuted(np.tile(np.arange(TOKENS), (TREES, 1)), axis=1)[:, :DEPTH]
+_PLACES = np.random.default_rng(7).permutation(TOKENS).reshape(TREES, DEPTH)  # each place in one tree
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -325,24 +336,42 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def in_blocks(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(node, id) rows in which each two of a node's blocks make a node; those
+    of one block stay.  ``blocks``: (node, blocks) with at least one each."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = members.select("node", "id").join(blocks, "node").withColumn("own", own)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    both = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    return placed.select(F.when(F.col("blocks") == 1, F.col("node")).otherwise(both).alias("node"), "id")
+
+
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row."""
     signed = checkpointed(signatures(docs, key, text))
     usable = signed.where(F.col("set_a").isNotNull() & F.col(key).isNotNull())
-    classes = checkpointed(usable.groupBy("set_a", "set_b").agg(F.min(key).alias("id"), F.first("tokens").alias("tokens")))
+    grouped = usable.groupBy("set_a", "set_b").agg(F.min(key).alias("id"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies"))
+    classes = checkpointed(grouped)
     nodes = checkpointed(_shared(roots(classes)))
     wanted = nodes.select("id").distinct()
     texts = checkpointed(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "id", "left_semi"))
-    sketch = checkpointed(classes.join(wanted, "id", "left_semi").select("id", "tokens"))
+    sketch = checkpointed(classes.join(wanted, "id", "left_semi").select("id", "tokens", "size"))
     links, depth = [], DEPTH
 
     def test(pairs: DataFrame) -> DataFrame:
         return confirmed(loose(pairs, sketch), texts)
 
+    def whole(inner: DataFrame) -> DataFrame:
+        """Links inside nodes (node, id) that one task can hold."""
+        found = checkpointed(sketched(inner.join(sketch.select("id", "tokens"), "id")))
+        small = confirmed(_ordered(found.where("node is null"), "a", "b"), texts)
+        middle = found.where("node is not null").select("node", F.col("a").alias("id"))
+        blocks = middle.join(sketch.select("id", "size"), "id").groupBy("node").agg(F.ceil(2 * F.sum("size") / SHINGLES).alias("blocks"))
+        blocks = blocks.select("node", F.when(F.col("blocks") <= 2, F.lit(1)).otherwise(F.col("blocks")).alias("blocks"))
+        return checkpointed(small.unionByName(compared(in_blocks(middle, blocks).join(texts, "id"))))
+
     while True:
-        inner = nodes.where(F.col("n") <= MIDDLE).join(sketch, "id")
-        found = checkpointed(sketched(inner))
-        links.append(checkpointed(confirmed(_ordered(found.where("node is null"), "a", "b"), texts).unionByName(compared(found.where("node is not null").select("node", F.col("a").alias("id")).join(texts, "id")))))
+        links.append(whole(nodes.where(F.col("n") <= MIDDLE)))
         large = nodes.where(F.col("n") > MIDDLE)
         if large.isEmpty():
             break
@@ -352,19 +381,35 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         members = large.join(label, large.id == label.node, "left").select(large.node, "id", F.coalesce("component", "id").alias("component"))
         parts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
         sums = parts.groupBy("node").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max_by("component", "n").alias("main"))
-        few = ((F.col("n") * F.col("n") - F.col("squares")) / 2 <= FEW * F.col("n")) | F.lit(depth >= LAST_DEPTH)
-        members = checkpointed(members.join(sums.where("squares < n * n").select("node", "main", few.alias("few")), "node"))
+        few = (F.col("n") * F.col("n") - F.col("squares")) / 2 <= FEW * F.col("n")
+        members = checkpointed(members.join(sums.where("squares < n * n").select("node", "n", "main", few.alias("few")), "node"))
         minor = members.where("few and component <> main").select("node", F.col("id").alias("x"), F.col("component").alias("cx"))
         every = members.where("few").select("node", F.col("id").alias("y"), F.col("component").alias("cy"))
         links.append(checkpointed(test(_ordered(minor.join(every, "node").where("cx <> cy"), "x", "y"))))
         wide = members.where("not few")
         if wide.isEmpty():
             break
+        if depth >= LAST_DEPTH:
+            links.append(whole(in_blocks(wide, wide.select("node", F.ceil(2 * F.col("n") / MIDDLE).alias("blocks")).distinct())))
+            break
         nodes = checkpointed(_shared(children(wide.join(sketch, "id").select("node", "id", "tokens"))))
         depth += 2
-    label = components(_union(links))
-    label = label.withColumnRenamed("node", "id")
-    named = classes.select("set_a", "set_b", "id").join(label, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select(key, "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    own = F.when(F.col(key).isNotNull(), F.coalesce("component_id", F.col(key)))
+    label = components(_union(links)).withColumnRenamed("node", "id")
+    named = classes.select("set_a", "set_b", "id", "copies").join(label, "id", "left").select("set_a", "set_b", "copies", F.coalesce("component", "id").alias("component_id"))
+    return _named(signed.select(key, "n_shingles", "set_a", "set_b"), named, key)
+
+
+def _named(signed: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """Rows with the component of their class.  Rows of hot classes get it from
+    a broadcast; they and rows without a class go through the join under keys of
+    their own, which match nothing and spread."""
+    total = named.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = F.col("copies") * HOT >= F.greatest(F.lit(total), F.lit(HOT))
+    held = named.where(hot).select(F.col("set_a").alias("ha"), F.col("set_b").alias("hb"), F.col("component_id").alias("hot"))
+    rows = signed.join(F.broadcast(held), (F.col("set_a") == F.col("ha")) & (F.col("set_b") == F.col("hb")), "left")
+    open_ = F.col("hot").isNull() & F.col("set_a").isNotNull()
+    rows = rows.select(key, "n_shingles", "hot", open_.alias("open"), F.when(open_, F.col("set_a")).otherwise(F.monotonically_increasing_id()).alias("ja"), F.when(open_, F.col("set_b")).otherwise(F.lit(0)).alias("jb"))
+    cold = named.where(~hot).select(F.lit(True).alias("open"), F.col("set_a").alias("ja"), F.col("set_b").alias("jb"), "component_id")
+    out = rows.join(cold, ["ja", "jb", "open"], "left")
+    own = F.when(F.col(key).isNotNull(), F.coalesce("hot", "component_id", F.col(key)))
     return out.select(key, "n_shingles", own.alias("component_id"), F.coalesce(own == F.col(key), F.lit(True)).alias("kept"))

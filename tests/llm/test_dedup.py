@@ -65,10 +65,47 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, small, middle):
     assert {x.doc_id: x.component_id for x in near.cluster(df).collect()} == label
 
 
+def test_blocks_of_a_node_meet_each_other(spark):
+    """10,000 members make 10,000 rows a block, and each two members meet."""
+    members = spark.range(10_000).selectExpr("if(id < 9000, 7, 8) as node", "id")
+    blocks = spark.createDataFrame([(7, 9), (8, 1)], "node bigint, blocks bigint")
+    rows = near.in_blocks(members, blocks).collect()
+    assert len(rows) == 9 * 9000 + 1000
+    of = {}
+    for r in rows:
+        of.setdefault(r.id, set()).add(r.node)
+    some = list(range(0, 9000, 97))
+    assert all(of[a] & of[b] for a in some for b in some) and of[9500] == {8}
+    sizes = {}
+    for r in rows:
+        sizes[r.node] = sizes.get(r.node, 0) + 1
+    assert max(n for k, n in sizes.items() if k != 8) < 2300  # two of nine blocks
+
+
+def test_unlike_members_of_one_node_and_hot_classes(spark, monkeypatch):
+    """Nodes whose members mostly differ are compared in blocks, few shingles
+    fit into a task, and a class of copies is hot: still exact."""
+    for name, value in (("SMALL", 2), ("MIDDLE", 6), ("LAST_DEPTH", near.DEPTH), ("SHINGLES", 500), ("HOT", 10), ("FEW", 0)):
+        monkeypatch.setattr(near, name, value)
+    rows = {}
+    for i in range(48):  # pairs of texts that share about 60 % with all others
+        rows[i] = " ".join([f"w{k}" for k in range(120)] + [f"own{i // 2}x{k}" for k in range(36)] + ([f"end{i}"] if i % 2 else []))
+    rows |= {100 + i: rows[0] for i in range(20)} | {200 + i: "" for i in range(20)} | {300 + i: None for i in range(5)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    sets = sets_of(rows)
+    label = classes_of(sets)
+    assert len({label[i] for i in range(48)}) == 24
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near.cluster(df).collect()}
+    assert got == {i: (len(sets[i]), label[i], label[i] == i) for i in rows}
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 50), (100, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
-    assert all(got[i] == 0 for i in range(41)) and got[100] == got[101] == 50
+    assert all(got[i] == 0 for i in range(41)) and got[100] == got[101] == 50 and len(got) == 44
+    odd = spark.createDataFrame([(1, 2, "x"), (1, 2, "y"), (2, 1, None), (None, 3, ""), (4, None, ""), (None, None, None)], "a bigint, b bigint, node string")
+    assert sorted((r.node, r.component) for r in components(odd).collect()) == [(1, 1), (2, 1)]
+    assert components(odd.limit(0)).count() == 0
 
 
 def removed_of(texts):
@@ -118,6 +155,18 @@ def test_passages_are_cut_from_texts(docs, texts):
             assert r.text == texts[r.doc_id]
 
 
+def test_passages_of_string_keys(spark):
+    """Any key that Spark can order; all columns, clashing names too, stay."""
+    text, own = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(20))
+    rows = [("b", text, 1, "k"), ("a", f"{own} {text}", 2, "l"), ("c", f"{text} x", 3, None), (None, text, 4, "m"), ("c", None, 5, "n")]
+    d = spark.createDataFrame(rows, "doc_id string, text string, n_chars bigint, key string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in passages.digests(d).collect())
+    assert got == [("None", 30, 0), ("a", 50, 0), ("b", 30, 30), ("c", 0, 0), ("c", 31, 30)]
+    out = passages.remove(d)
+    assert out.columns == d.columns
+    assert sorted((str(r.doc_id), str(r.n_chars), str(r.key)) for r in out.collect()) == [("None", str(len(text)), "m"), ("a", str(len(rows[1][1])), "l"), ("b", "0", "k"), ("c", "1", "None"), ("c", "None", "n")]
+
+
 def test_passages_of_odd_tables(spark, empty):
     assert passages.digests(empty).count() == 0 and passages.remove(empty).count() == 0
     text = " ".join(f"w{i}" for i in range(20))
