@@ -1,158 +1,43 @@
 """Quality rules: plain counts of a text, and bands of its n-gram perplexity.
 
-Two modified Kneser-Ney models are counted over all documents.  The one of words
-(``wordmodel``) grows with the corpus and stays partitioned; each text is scored
-against all others, and the score has an upper limit only, as copies elsewhere
-make it small.  The one of spelling has ``ORDER`` symbols over an alphabet of
-``BASE`` byte classes, at most BASE**ORDER (2.56 million) n-grams whatever the
-corpus, so its sorted hash arrays, 12 bytes an n-gram and order, may be
-broadcast; its score has a lower and an upper limit.  A score is the mean
-negative log probability (log perplexity) of the text's words or symbols.  For
-each language the median and the quartiles of a score over all documents set
-the limits; shorter texts get wider bands, as their means vary more.  A language
-always has its own median; its spread is the mean of its own and that of all
-languages, weighted by its documents and ``LEAST_DOCS``.
+Modified Kneser-Ney models of bytes, one for each language, are counted over all
+documents and stay partitioned (``ngrams``).  A text's score is the mean negative
+log probability (log perplexity) of its n-grams.  For each language the median
+and the quartiles of the score over all documents set a lower and an upper limit;
+shorter texts get wider bands, as their means vary more.  A language always has
+its own median; its spread is the mean of its own and that of all languages,
+weighted by its documents and ``LEAST_DOCS``.
 
 Defined results: null and empty texts have no words, fail the base rules and
 have a null score; a null language is a language of its own; repeated rows give
-repeated rows.
+repeated rows, also of a null key; an empty table gives no rows.  Key, text and
+language alone are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import wordmodel, words
+from . import ngrams, words
 from .common import checkpointed
 
-ORDER, BASE = 4, 40
 #: Half widths of a band, in standard deviations estimated from the quartiles.
 WIDTH = 4.0
 LEAST_SIGMA = 0.01
 #: Weight of the spread of all languages in a language's, in documents.
 LEAST_DOCS = 100
-SPREADS = ("below", "above", "word_above")
+SPREADS = ("below", "above")
 QUARTILE = 0.6745
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 
 
-def _classes() -> np.ndarray:
-    c = np.full(256, 34, np.int32)  # other printable characters and controls
-    c[97:123] = np.arange(26)
-    c[65:91] = 26
-    c[[9, 11, 12, 13, 32]] = 27
-    c[10] = 28
-    c[48:58] = 29
-    for k, char in enumerate(b".,!|"):
-        c[char] = 30 + k
-    c[128:] = 35 + (np.arange(128) & 3)
-    return c
-
-
-CLASS = _classes()
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of the n-grams that lie in one text, number in each text)."""
-    each = np.maximum(np.diff(offs) - (ORDER - 1), 0)
-    if len(data) < ORDER:
-        return np.zeros(0, np.int32), np.zeros(len(each), np.int64)
-    s = CLASS[data]
-    code = s[: len(s) - ORDER + 1].copy()
-    for k in range(1, ORDER):
-        code *= BASE
-        code += s[k : len(s) - ORDER + 1 + k]
-    inside = np.ones(len(code), bool)
-    for o in offs[1:-1]:
-        inside[max(0, o - ORDER + 1) : o] = False
-    return code[inside], each
-
-
-def count(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(code int, n bigint): how often each n-gram occurs in all texts."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BASE**ORDER, np.int64)
-        for batch in batches:
-            for _, data, offs in words.slices(batch, text):
-                code, _ = codes(data, offs)
-                if len(code) < 1 << 16:
-                    np.add.at(total, code, 1)
-                else:
-                    total += np.bincount(code, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["code", "n"])
-
-    return docs.select(text).mapInArrow(rows, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _keys(code: np.ndarray, order: int) -> np.ndarray:
-    return words.mix(code.astype(np.uint64) * np.uint64(8) + np.uint64(order))
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney model from counts of the highest order.
-
-    ``level[k]`` has the sorted hashes of the n-grams of order k, their
-    log probabilities, and the log weights their order gives to the one below
-    after them as a history."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray):
-        code = code.astype(np.int64)
-        counts = {ORDER: (code, n.astype(np.int64))}
-        for k in range(ORDER - 1, 0, -1):  # in how many contexts each shorter n-gram is seen
-            counts[k] = np.unique(counts[k + 1][0] % BASE**k, return_counts=True)
-        self.level: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.weight: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        below, below_code = np.full(1, 1.0 / BASE), None
-        for k in range(1, ORDER + 1):
-            c, m = counts[k]
-            order = np.argsort(c)
-            c, m = c[order], m[order]
-            seen = [max(1, int((m == i).sum())) for i in (1, 2, 3, 4)]
-            y = seen[0] / (seen[0] + 2 * seen[1])
-            discount = np.clip([0, *(i - (i + 1) * y * seen[i] / seen[i - 1] for i in (1, 2, 3))], [0, 0.1, 0.1, 0.1], [0, 0.9, 1.9, 2.9])
-            d = discount[np.minimum(m, 3)]
-            history, of = np.unique(c // BASE, return_inverse=True)
-            total = np.bincount(of, weights=m)
-            left = np.bincount(of, weights=d) / total
-            lower = below[np.searchsorted(below_code, c % BASE ** (k - 1))] if k > 1 else below[0]
-            p = (m - d) / total[of] + left[of] * lower
-            self.level[k] = self._sorted(_keys(c, k), np.log(p))
-            self.weight[k - 1] = self._sorted(_keys(history, k - 1), np.log(left))
-            below, below_code = p, c
-
-    @staticmethod
-    def _sorted(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key)
-        return key[order], value[order].astype(np.float32)
-
-    @staticmethod
-    def _find(held: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = held
-        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-        found = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-        return found, np.where(found, values[at] if len(keys) else 0, 0)
-
-    def log_p(self, code: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Log probability of the last symbol of each n-gram after the others."""
-        if order == 0:
-            return np.full(len(code), -np.log(BASE))
-        found, value = self._find(self.level[order], _keys(code, order))
-        if not found.all():
-            rest = code[~found]
-            _, weight = self._find(self.weight[order - 1], _keys(rest // BASE, order - 1))
-            value[~found] = weight + self.log_p(rest % BASE ** (order - 1), order - 1)
-        return value
-
-
 def base_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     """The plain counts of each text."""
     w = words.Words(data, offs)
@@ -205,42 +90,35 @@ def base_counts(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def score(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, lang, the counts, n_grams, log_perplexity, text) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", limits: ngrams.Limits = ngrams.Limits()) -> DataFrame:
+    """(key, lang, the counts, n_grams, log_perplexity) of each row."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    kind = docs.schema[key].dataType
+    names = ["key", "lang", *COUNTS, "n_grams", "log_perplexity"]
+    schema = f"key {kind.simpleString()}, lang string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", n_grams bigint, log_perplexity double"
+    none = docs.sparkSession.createDataFrame([], schema).toArrow()
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
-        for batch in batches:
-            for part, data, offs in words.slices(batch, text):
-                counts = base_counts(data, offs)
-                code, each = codes(data, offs)
-                unique, of = np.unique(code, return_inverse=True)
-                run = np.zeros(len(code) + 1)
-                np.cumsum(held.log_p(unique)[of], out=run[1:])
-                at = np.concatenate([[0], np.cumsum(each)])
-                value = -np.diff(run[at]) / np.maximum(each, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(each.astype(np.int64)), pa.array(value, mask=each == 0), part.column(1)],
-                    names=[key, "lang", *COUNTS, "n_grams", "log_perplexity", text],
-                )
+    def last(table: pa.Table, replies: pa.Table) -> pa.Table:
+        done = []
+        for part, n, value in ngrams.means(ngrams.opened(table), *ngrams.replied(replies), limits):
+            counts = base_counts(*words.buffers(part.column(1)))
+            done.append(pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(n), pa.array(value, mask=n == 0)], names=names))
+        return pa.Table.from_batches(done) if done else none
 
-    kind = docs.schema[key].dataType.simpleString()
-    shaped = docs.select(F.col(key), F.col(text), F.col(lang).cast("string").alias("lang"))
-    return shaped.mapInArrow(rows, f"`{key}` {kind}, lang string, " + ", ".join(f"{c} bigint" for c in COUNTS) + f", n_grams bigint, log_perplexity double, `{text}` string")
+    texts, replies = ngrams.exchanged(rows, limits)
+    done = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(last, schema)
+    return done.withColumnRenamed("key", key)
 
 
 def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row a document: the counts, base_failed, both log perplexities, the
-    bands' limits, and kept."""
-    counted = count(docs, text).toArrow()  # at most BASE ** ORDER rows
-    model = KneserNey(counted.column("code").to_numpy(), counted.column("n").to_numpy())
-    scored = checkpointed(wordmodel.scored(score(docs, model, key, text, lang), key, text, docs.count()))
-    x, y = F.col("log_perplexity"), F.col("word_log_perplexity")
+    """One row a document: the counts, base_failed, kept, the log perplexity and
+    the limits of its band."""
+    scored = checkpointed(score(docs, key, text, lang))
+    x = F.col("log_perplexity")
 
     def sums(rows):
         q = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000)
-        return rows.agg(q(x).alias("q"), q(y).alias("word_q"), F.percentile_approx("n_grams", 0.5).alias("n_mid"), F.percentile_approx("n_words", 0.5).alias("words_mid"), F.count(x).alias("n_docs"))
+        return rows.agg(q(x).alias("q"), F.percentile_approx("n_grams", 0.5).alias("n_mid"), F.count(x).alias("n_docs"))
 
     named = F.coalesce(F.col("lang"), F.lit("\0"))
     bands = sums(scored.groupBy(named.alias("band")))
@@ -248,21 +126,18 @@ def rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         "band",
         "n_docs",
         "n_mid",
-        "words_mid",
         F.col("q")[1].alias("mid"),
-        F.col("word_q")[1].alias("word_mid"),
-        *(F.coalesce(c / QUARTILE, F.lit(0.0)).alias(f"own_{name}") for name, c in (("below", F.col("q")[1] - F.col("q")[0]), ("above", F.col("q")[2] - F.col("q")[1]), ("word_above", F.col("word_q")[2] - F.col("word_q")[1]))),
+        *(F.coalesce(c / QUARTILE, F.lit(0.0)).alias(f"own_{name}") for name, c in (("below", F.col("q")[1] - F.col("q")[0]), ("above", F.col("q")[2] - F.col("q")[1]))),
     )
     # spreads inside the languages, a mean over all documents
     spreads = bands.agg(*((F.sum(F.col("n_docs") * F.col(f"own_{c}")) / F.greatest(F.sum("n_docs"), F.lit(1))).alias(f"all_{c}") for c in SPREADS))
     shrunk = lambda c: F.greatest((F.col("n_docs") * F.col(f"own_{c}") + LEAST_DOCS * F.col(f"all_{c}")) / (F.col("n_docs") + LEAST_DOCS), F.lit(LEAST_SIGMA))
-    bands = bands.crossJoin(F.broadcast(spreads)).select("band", "mid", "word_mid", "n_mid", "words_mid", *(shrunk(c).alias(c) for c in SPREADS))
+    bands = bands.crossJoin(F.broadcast(spreads)).select("band", "mid", "n_mid", *(shrunk(c).alias(c) for c in SPREADS))
     salts = 32  # a language may hold most rows
     bands = bands.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = scored.withColumns({"band": named, "salt": F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")}).join(bands, ["band", "salt"], "left")
+    joined = scored.withColumns({"band": named, "salt": F.pmod(F.xxhash64(key, "log_perplexity"), F.lit(salts)).cast("int")}).join(bands, ["band", "salt"], "left")
     wide = lambda mid, n: WIDTH * F.sqrt(F.greatest(F.lit(1.0), F.col(mid) / F.greatest(F.col(n), F.lit(1))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     low, high = F.col("mid") - wide("n_mid", "n_grams") * F.col("below"), F.col("mid") + wide("n_mid", "n_grams") * F.col("above")
-    word_high = F.col("word_mid") + wide("words_mid", "n_words") * F.col("word_above")
-    inside = F.coalesce(x.between(low, high), F.lit(True)) & F.coalesce(y <= word_high, F.lit(True))
-    return joined.select(key, *COUNTS, failed.alias("base_failed"), (~failed & inside).alias("kept"), "lang", "log_perplexity", low.alias("lower"), high.alias("upper"), "word_log_perplexity", word_high.alias("word_upper"))
+    inside = F.coalesce(x.between(low, high), F.lit(True))
+    return joined.select(key, *COUNTS, failed.alias("base_failed"), (~failed & inside).alias("kept"), "lang", "log_perplexity", low.alias("lower"), high.alias("upper"))

@@ -44,17 +44,6 @@ def test_quality_counts_of_hard_lines():
     assert list(zip(*(c[k].tolist() for k in quality.COUNTS))) == [plain_counts(t) for t in hard]
 
 
-def test_kneser_ney_sums_to_one_and_matches_its_formula():
-    r = np.random.default_rng(0)
-    text = "".join(r.choice(list("abc d."), 4000, p=[0.4, 0.2, 0.1, 0.2, 0.05, 0.05]))
-    code, _ = quality.codes(*words.buffers(pa.array([text])))
-    unique, n = np.unique(code, return_counts=True)
-    model = quality.KneserNey(unique, n)
-    for history in (unique[0] // quality.BASE, unique[-1] // quality.BASE, 7):  # the last is unseen
-        every = history * quality.BASE + np.arange(quality.BASE)
-        assert math.isclose(np.exp(model.log_p(every.astype(np.int64))).sum(), 1.0, rel_tol=1e-4)
-
-
 def test_perplexity_bands_reject_what_differs(spark):
     from tests.llm.conftest import prose
 
@@ -290,6 +279,33 @@ def test_resampling_prefers_the_target(spark, docs, empty, texts):
     assert resample.sample(empty, empty).count() == 0
 
 
+def test_weights_match_a_plain_version(spark):
+    """Log weights by counting every token and pair anew, bucket by bucket."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["The", "river,", "é-x", "a_b", "!!", "stone", "42"]) for _ in range(r.randrange(40))) for _ in range(40)]
+    memo = {}
+
+    def tokens(t):
+        return re.findall(r"[0-9a-z_\x80-\U0010ffff]+|[!-/:-@\[-^`{-~]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+
+    def bucket(*words_of):  # the last bucket of a text of one or two tokens
+        if words_of not in memo:
+            memo[words_of] = int(resample.buckets(*words.buffers(pa.array([" ".join(words_of)])))[0][-1])
+        return memo[words_of]
+
+    def listed(t):
+        w = tokens(t)
+        return [bucket(x) for x in w] + [bucket(x, y) for x, y in zip(w, w[1:])]
+
+    raw, target = Counter(b for t in texts for b in listed(t)), Counter(b for t in texts[:12] for b in listed(t))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    size = lambda c: sum(c.values()) + resample.BUCKETS
+    for x in resample.sample(d, d.where("doc_id < 12")).collect():
+        held = listed(texts[x.doc_id])
+        want = sum(math.log((target[b] + 1) / size(target)) - math.log((raw[b] + 1) / size(raw)) for b in held)
+        assert x.n_grams == len(held) and math.isclose(x.log_weight, want, rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_kth_largest(spark):
     values = [5, 5, 3, -7, 2**50, -(2**50), 0, 5]
     d = spark.createDataFrame([(v,) for v in values], "v bigint")
