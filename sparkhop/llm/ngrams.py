@@ -274,7 +274,7 @@ def _received(table: pa.Table, most: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _merge(table: pa.Table, limits: Limits) -> pa.Table:
     gram, count, docs = _received(table, limits.least_docs)
-    return _rows(table.column("block")[0].as_py(), [(table.column("shard")[0].as_py(), _pack_sorted(gram), _pack(count), _pack(docs.astype(np.uint8)))])
+    return _rows(table.column("group")[0].as_py(), [(table.column("shard")[0].as_py(), _pack_sorted(gram), _pack(count), _pack(docs.astype(np.uint8)))])
 
 
 def _reply(asked: pa.Table, shard: pa.Table, limits: Limits) -> pa.Table:
@@ -320,18 +320,16 @@ def exchanged(docs: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
     ``opened``, ``replied`` and ``means`` read.  docs: a text, a lang, and further
     columns."""
     texts = _texts(docs, limits).repartition("block")  # one exchange serves both uses
-    sent = texts.groupBy("block").applyInArrow(lambda t: _send(t, limits), COUNTS)
-    blocks = _blocks(docs, limits)
-    whole, parts = sent, blocks
-    while True:
+    parts = groups = -(-_blocks(docs, limits) // limits.fan)
+    group = lambda n: F.pmod(F.xxhash64("block"), F.lit(n))
+    # merged by the same groups that are answered, so one exchange serves both
+    sent = texts.groupBy("block").applyInArrow(lambda t: _send(t, limits), COUNTS).withColumn("group", group(groups))
+    whole = sent.groupBy("shard", "group").applyInArrow(lambda t: _merge(t, limits), COUNTS)
+    while parts > 1:
         parts = -(-parts // limits.fan)
-        whole = whole.withColumn("block", F.pmod(F.xxhash64("block"), F.lit(parts))).groupBy("shard", "block").applyInArrow(lambda t: _merge(t, limits), COUNTS)
-        if parts == 1:
-            break
-    groups = -(-blocks // limits.fan)
-    asked = sent.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+        whole = whole.withColumn("group", group(parts)).groupBy("shard", "group").applyInArrow(lambda t: _merge(t, limits), COUNTS)
     copies = whole.withColumn("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
-    replies = asked.groupBy("shard", "group").cogroup(copies.groupBy("shard", "group")).applyInArrow(lambda a, b: _reply(a, b, limits), REPLIES)
+    replies = sent.groupBy("shard", "group").cogroup(copies.groupBy("shard", "group")).applyInArrow(lambda a, b: _reply(a, b, limits), REPLIES)
     return texts, replies
 
 
