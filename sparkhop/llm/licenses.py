@@ -17,7 +17,9 @@ Training runs on the driver over a bounded sample.  Scoring is one pass of
 column expressions with the weights as literals of fixed size.
 
 Defined results: null and empty texts have no lines; rows with one key are
-counted together, so repeated rows add up; a null key is one group.
+counted together, so repeated rows add up; a null key is one group; an empty
+table gives no rows.  Key and text alone are read, under names of their own, so
+other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .common import smallest_hashes
 
 BUCKETS = 4096
 SAMPLE_LINES = 4000
+#: Characters of a training line at most, from all over the line.
+SAMPLE_CHARS = 1000
 #: Weight of all ordinary training lines for each unit of licence lines.
 ORDINARY = 4.0
 GATE = 0.5
@@ -201,10 +205,13 @@ class Model:
 
 def sample_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = SAMPLE_LINES) -> list[str]:
     """One line each of ``limit`` documents at most: those of the smallest
-    hashes, the line by the hash, too."""
+    hashes, the line by the hash, too; of a longer line the ``SAMPLE_CHARS``
+    characters from a place that the hash chooses in the whole line."""
     chosen = smallest_hashes(docs.select(key).where(F.col(key).isNotNull()), key, limit).distinct()
     rows = docs.join(F.broadcast(chosen), key, "left_semi").where(F.length(text) > 0).select(F.xxhash64(key).alias("h"), F.split(F.col(text), "\n").alias("lines"))
-    rows = rows.select("h", F.substring(F.col("lines")[F.pmod("h", F.size("lines")).cast("int")], 1, 1000).alias("line"))
+    rows = rows.select("h", F.col("lines")[F.pmod("h", F.size("lines")).cast("int")].alias("line"))
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("line") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    rows = rows.select("h", F.substring("line", start, F.lit(SAMPLE_CHARS)).alias("line"))
     return [r[1] for r in sorted(rows.limit(limit).collect())]
 
 
