@@ -2,8 +2,12 @@
 group stays, repeated passages and secrets are cut out, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
-before has kept; all but the last return the columns of ``documents``.  Rows
-without a doc_id pass the two deduplicating stages unchanged.
+before has kept; all but the last return the columns of ``documents``, further
+columns included.  Defined results, of each stage: an empty table gives no rows;
+null and empty texts stay as they are (packed, the end id alone); rows without a
+doc_id are never dropped but for their own toxicity, and neither give nor lose
+words as repeats; rows of one doc_id and different texts all stay where their
+document does, rows of one doc_id and text once.
 """
 
 from __future__ import annotations
@@ -11,7 +15,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
 from sparkhop.llm import near, packing, passages, secrets, toxicity
@@ -25,10 +30,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component, once."""
+    """The document with the smallest doc_id of each component; of rows with its
+    doc_id and one text, the first by the other columns."""
     kept = near.cluster(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    rank = "_rank" + "_" * max(map(len, docs.columns))  # no column has this name
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    same = Window.partitionBy("doc_id", "text").orderBy(*(others or ["doc_id"]))
+    once = named.withColumn(rank, F.row_number().over(same)).where(F.col(rank) == 1)
+    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,22 @@ def test_stages_match_brute_force(spark, folder, tmp_path):
 def test_run_gives_all_kept_documents(spark, folder):
     rows = corpus_pipeline.run(spark, folder[0])
     assert rows.columns[:2] == ["doc_id", "start"] and rows.select("doc_id").distinct().count() > 200
+
+
+def test_stages_on_odd_tables(spark, folder):
+    """Clashing keys, null keys and texts, repeated rows, an empty table."""
+    where, _, _ = folder
+    a, b = prose(7001, 60), prose(7002, 60)
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "en", "s", 1), (1, a, "en", "t", 1), (2, a, "de", "s", 1), (None, a, None, None, None), (None, a, None, None, None), (None, None, None, None, None), (3, None, "en", "s", None), (3, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stages = dict(corpus_pipeline.STAGES)
+    near = sorted(map(str, stages["minhash_near_dedup"](spark, docs, where).select("doc_id", "text", "source").collect()))
+    want = [(1, a, "s"), (1, b, "s"), (None, a, None), (None, a, None), (None, None, None), (3, None, "s"), (3, "", "s")]
+    assert near == sorted(map(str, spark.createDataFrame(want, "doc_id bigint, text string, source string").collect()))
+    for name in ("toxicity", "substring_dedup", "secret_scans"):
+        out = stages[name](spark, docs, where)
+        assert out.count() == 10 and out.columns == docs.columns, name
+    pieces = stages["packing"](spark, docs, where).collect()
+    assert sum(r.start == 0 for r in pieces) == 10 and sum(r.start + r.length == r.doc_tokens for r in pieces) == 10
+    for name, stage in stages.items():
+        assert stage(spark, docs.limit(0), where).count() == 0, name
