@@ -6,15 +6,17 @@ inverse document frequency lies in a band; as both ends of the band are shares
 of the documents (the lower one ``LEAST_DOCS`` documents at least), it has at
 most the mean number of distinct terms of a text divided by ``LEAST_SHARE``
 terms, however large the vocabulary is.  The distinct terms in the lexicon are sorted
-and hashed once whole and once for each randomised lexicon subset: ``GROUPS``
-nested chains of subsets that keep a quarter, a sixteenth and a sixty-fourth of
-the terms.  Large subsets only agree on equal texts, small ones also on texts
-that differ in places; the likeness of two fingerprints is the share of agreeing
+and hashed once whole and once for each randomised lexicon subset: for each scale
+of ``SCALES``, ``SUBSETS`` disjoint ones that keep one in so many terms.  Large
+subsets only agree on equal texts, small ones also on texts that differ in places,
+whatever their length; the likeness of two fingerprints is the share of agreeing
 parts among those that are not empty in both.
 
 Defined results: a null text counts as empty; texts without lexicon terms have
 the empty fingerprint, and two empty fingerprints have likeness 1; repeated rows
-give repeated rows.
+give repeated rows; keys may be of any type that Spark can order, and null keys
+come after all others.  Key and text alone are read, so other columns' names
+cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 #: least this many and this share of them.
 MOST_SHARE, LEAST_DOCS = 0.1, 2
 LEAST_SHARE = 1e-3
-GROUPS = 4
-SCALES = (4, 16, 64)
-#: Neighbouring documents that are sorted together.
-BLOCK_ROWS = 512
+SCALES = (16, 64, 256, 1024, 4096)
+SUBSETS = 6
+#: Neighbouring documents that are sorted together, and blocks at most; what
+#: their bounds take on the driver and in the plan is bounded by the latter.
+BLOCK_ROWS, MOST_BLOCKS = 2000, 4096
 
 
 def _terms(text: Column) -> Column:
@@ -55,8 +58,8 @@ def _literal(values: np.ndarray, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast(f"array<{kind}>")  # folded to one literal
 
 
-def _member(group: int, scale: int):
-    return lambda h: F.xxhash64(F.lit(group), h).bitwiseAND(F.lit(scale - 1)) == 0
+def _place(scale: int, h: Column) -> Column:
+    return F.xxhash64(F.lit(scale), h).bitwiseAND(F.lit(scale - 1))
 
 
 def fingerprint(rows: DataFrame, text: str, held: np.ndarray, out: str) -> DataFrame:
@@ -75,14 +78,15 @@ def fingerprint(rows: DataFrame, text: str, held: np.ndarray, out: str) -> DataF
     all_, columns = f"{out}_terms", []
     rows = rows.withColumn(all_, F.array_sort(F.filter(_terms(F.coalesce(F.col(text), F.lit(""))), inside)))
     columns.append(all_)
-    for g in range(GROUPS):
-        above = all_
-        for scale in SCALES:
-            name = f"{out}_{g}_{scale}"
-            rows = rows.withColumn(name, F.filter(above, _member(g, scale)))
-            columns.append(name)
-            above = name
-    parts = F.array(*(F.when(F.size(c) > 0, F.xxhash64(F.col(c))) for c in columns))
+    parts = [F.when(F.size(all_) > 0, F.xxhash64(F.col(all_)))]
+    for scale in SCALES:
+        name = f"{out}_{scale}"  # the terms of this scale's subsets, each hashed once
+        rows = rows.withColumn(name, F.filter(all_, lambda h: _place(scale, h) < SUBSETS))
+        columns.append(name)
+        for j in range(SUBSETS):
+            chosen = F.filter(name, lambda h: _place(scale, h) == j)
+            parts.append(F.when(F.exists(name, lambda h: _place(scale, h) == j), F.xxhash64(chosen)))
+    parts = F.array(*parts)
     return rows.withColumn(out, parts).drop(*columns)
 
 
@@ -98,16 +102,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(same / total)
 
 
+def _bounds(rows: DataFrame, key: str, tie: Column) -> list[tuple]:
+    """Upper ends (key, tie) of even parts of the rows that have a key."""
+    held = rows.select(F.struct(F.col(key).alias("k"), tie.alias("h")).alias("p")).where("p.k is not null")
+    parts = max(1, min(MOST_BLOCKS, held.count() // BLOCK_ROWS))
+    ends = held.repartitionByRange(parts, "p").groupBy(F.spark_partition_id()).agg(F.max("p").alias("p")).orderBy("p")
+    return [(r[0], r[1]) for r in ends.select("p.k", "p.h").collect()]
+
+
+def _block(rows: DataFrame, key: str, tie: Column) -> Column:
+    """The number of bounds below a row's place, found in two steps, -1 for a
+    null key; the bounds are literals of the plan."""
+    ends = _bounds(rows, key, tie)
+    if not ends:
+        return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(0).cast("bigint")
+    kind = rows.schema[key].dataType.simpleString()
+    step = math.isqrt(len(ends))
+
+    def below(chosen: list[tuple], first: Column | None = None) -> Column:
+        keys = F.array(*(F.lit(k) for k, _ in chosen)).cast(f"array<{kind}>")
+        ties = _literal(np.array([h for _, h in chosen]), "bigint")
+        at = F.lit(0) if first is None else first
+        held = keys if first is None else F.slice(keys, first + 1, F.lit(step))
+        less = lambda k, i: (k < F.col(key)) | ((k == F.col(key)) & (F.element_at(ties, at + i + 1) < tie))
+        return F.size(F.filter(held, less))
+
+    tops = ends[step - 1 :: step]
+    first = below(tops) * step
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(first + below(ends, first)).cast("bigint")
+
+
 def with_next(rows: DataFrame, key: str, columns: list[str], prefix: str = "next_") -> DataFrame:
     """Adds the columns of the row with the next smaller key (the largest key's
-    row for the smallest key).  Rows are sorted in blocks of neighbouring keys;
-    only one row of each block takes its follower from another block.  Rows with
-    a null key come last."""
-    low, high, n = rows.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    width = max(1, math.ceil((high - low + 1) * BLOCK_ROWS / max(1, n)))
-    block = F.coalesce(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("bigint")
-    order = Window.partitionBy("_block").orderBy(F.col(key).desc_nulls_last(), *columns)
+    row for the smallest key).  Rows are sorted in at most ``MOST_BLOCKS`` blocks
+    between sampled quantiles of their keys, of any type that Spark can order;
+    only one row of each block takes its follower from another block.  Rows of
+    equal keys are ordered by a hash of their first column, which also spreads
+    them over blocks.  Rows with a null key come last."""
+    rows = rows.withColumn("_tie", F.xxhash64(columns[0]))
+    block = _block(rows, key, F.col("_tie"))
+    order = Window.partitionBy("_block").orderBy(F.col(key).desc_nulls_last(), F.desc("_tie"), *columns)
     # every branch below reads the rows in the same order, so one exchange serves
     # all; a rank filter would get a plan, and a pass over the texts, of its own
     at = rows.withColumn("_block", block)
@@ -120,8 +154,8 @@ def with_next(rows: DataFrame, key: str, columns: list[str], prefix: str = "next
     following = Window.orderBy(F.col("_block").desc())
     blocks = firsts.select("_block")
     blocks = blocks.withColumn("_next", F.coalesce(F.lead("_block").over(following), F.max("_block").over(Window.partitionBy())))
-    inner = at.where("_more").drop("_block", "_more", "_head")
-    last = at.where("not _more").drop(*(prefix + c for c in columns), "_more", "_head")
+    inner = at.where("_more").drop("_block", "_tie", "_more", "_head")
+    last = at.where("not _more").drop(*(prefix + c for c in columns), "_tie", "_more", "_head")
     joined = last.join(blocks, "_block").join(heads, "_next").select(*inner.columns)
     return inner.unionByName(joined)
 
@@ -129,14 +163,15 @@ def with_next(rows: DataFrame, key: str, columns: list[str], prefix: str = "next
 def query(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's fingerprint, its edited text's, and likenesses."""
     held = lexicon(docs, text)
-    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    out, key, docs = key, "_key", docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    rows = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(fingerprint(rows, "text", held, "parts"), key, ["text", "parts"])
     n = F.char_length("text")
     rows = rows.withColumn("n_chars", n.cast("bigint")).withColumn("_cut", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars) - _cut)"), F.expr("substring(next_text, 1, _cut)")))
     rows = fingerprint(rows.select(key, "n_chars", "edited", "parts", "next_parts"), "edited", held, "edited_parts")
     return rows.select(
-        key,
+        F.col(key).alias(out),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         shown(F.col("parts")).alias("fingerprint"),
