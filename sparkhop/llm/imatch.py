@@ -24,9 +24,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: Lexicon: terms that occur in at most this share of the documents, and in at
 #: least this many and this share of them.
 MOST_SHARE, LEAST_DOCS = 0.1, 2
@@ -62,22 +65,33 @@ def _place(scale: int, h: Column) -> Column:
     return F.xxhash64(F.lit(scale), h).bitwiseAND(F.lit(scale - 1))
 
 
-def fingerprint(rows: DataFrame, text: str, held: np.ndarray, out: str) -> DataFrame:
-    """Adds ``out``: the parts of each text's fingerprint, null where empty."""
-    # a hash table of about four terms a place: by their low bits, and where each place starts
+def table(spark: SparkSession, held: np.ndarray) -> tuple[DataFrame, int]:
+    """The terms of a lexicon as a hash table of about four terms a place, by
+    their low bits: a frame of one row and column, and the number of places."""
     size = 1 << max(0, len(held).bit_length() - 2)
     low = held & (size - 1)
-    start = _literal(np.searchsorted(np.sort(low), np.arange(size + 1)), "int")
-    terms = _literal(held[np.argsort(low, kind="stable")], "bigint") if len(held) else F.array().cast("array<bigint>")
+    start = np.searchsorted(np.sort(low), np.arange(size + 1)).astype(np.int32)
+    places = pa.ListArray.from_arrays(pa.array(start), pa.array(held[np.argsort(low, kind="stable")], pa.int64()))
+    whole = pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), places)
+    return checkpointed(spark.createDataFrame(pa.table([whole], names=["places"]))), size
+
+
+def fingerprint(rows: DataFrame, text: str, held: np.ndarray | tuple[DataFrame, int], out: str) -> DataFrame:
+    """Adds ``out``: the parts of each text's fingerprint, null where empty.
+    held: the lexicon, or its ``table``."""
+    one, size = held if isinstance(held, tuple) else table(rows.sparkSession, held)
+    # the table is a subquery's value: tasks get it once, and neither rows nor the
+    # plan's descriptions, which the driver keeps, hold its terms.  It is named but
+    # once, and beside it only what is named once too, so that Spark puts the
+    # subquery in place of the column
+    all_, places = f"{out}_terms", f"{out}_places"
+    rows = rows.withColumns({all_: _terms(F.coalesce(F.col(text), F.lit(""))), places: one.scalar()})
 
     def inside(h: Column) -> Column:
         at = h.bitwiseAND(F.lit(size - 1)).cast("int") + 1
-        first = F.element_at(start, at)
-        return F.array_contains(F.slice(terms, first + 1, F.element_at(start, at + 1) - first), h)
+        return F.array_contains(F.element_at(F.col(places), at), h)
 
-    all_, columns = f"{out}_terms", []
-    rows = rows.withColumn(all_, F.array_sort(F.filter(_terms(F.coalesce(F.col(text), F.lit(""))), inside)))
-    columns.append(all_)
+    rows, columns = rows.withColumn(all_, F.array_sort(F.filter(all_, inside))).drop(places), [all_]
     parts = [F.when(F.size(all_) > 0, F.xxhash64(F.col(all_)))]
     for scale in SCALES:
         name = f"{out}_{scale}"  # the terms of this scale's subsets, each hashed once
@@ -162,7 +176,7 @@ def with_next(rows: DataFrame, key: str, columns: list[str], prefix: str = "next
 
 def query(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's fingerprint, its edited text's, and likenesses."""
-    held = lexicon(docs, text)
+    held = table(docs.sparkSession, lexicon(docs, text))
     out, key, docs = key, "_key", docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     rows = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(fingerprint(rows, "text", held, "parts"), key, ["text", "parts"])

@@ -84,6 +84,21 @@ def test_lexicon_has_the_terms_of_the_band_only(spark, monkeypatch, share, least
     assert got[1] == got[2] and got[1][0] is not None and set(got[3]) == {None}
 
 
+def test_plans_do_not_show_the_lexicon(spark):
+    """The driver keeps descriptions of each plan; they must not grow with the terms."""
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(400))) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    held = imatch.lexicon(d)
+    assert len(held) == 8000
+    out = imatch.query(d)
+    plan = out._jdf.queryExecution().toString()
+    assert not any(str(h) in plan for h in held.tolist())
+    # nor are they in the rows: the table is a subquery's value inside the lookup
+    projects = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Project [" in x]
+    assert any("scalar-subquery" in x for x in projects) and not any("_places#" in x for x in projects)
+    assert all(r.near_next == 1.0 for r in out.where("doc_id % 2 = 1").collect())
+
+
 def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
