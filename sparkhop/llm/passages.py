@@ -326,5 +326,8 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str |
             columns[size_at] = pa.array([None if t is None else len(t) for t in texts], columns[size_at].type)
         return pa.RecordBatch.from_arrays(columns, names=inner)
 
-    done = _dedup(plain, key_at, finish, ddl).unionByName(plain.where(F.col(key_at).isNull()))
+    alone = plain.where(F.col(key_at).isNull())
+    if size_at is not None:
+        alone = alone.withColumn(inner[size_at], F.char_length("text").cast(schema[size_at].dataType))
+    done = _dedup(plain, key_at, finish, ddl).unionByName(alone)
     return done.select(*(F.col(n).alias(c) for n, c in zip(inner, columns)))

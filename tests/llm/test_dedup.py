@@ -167,6 +167,14 @@ def test_passages_of_string_keys(spark):
     assert sorted((str(r.doc_id), str(r.n_chars), str(r.key)) for r in out.collect()) == [("None", str(len(text)), "m"), ("a", str(len(rows[1][1])), "l"), ("b", "0", "k"), ("c", "1", "None"), ("c", "None", "n")]
 
 
+def test_sizes_of_rows_without_a_key(spark):
+    """Counted again like all others', in the column's own type."""
+    d = spark.createDataFrame([(None, "one é", 99), (None, None, 7), (1, "two", 5)], "doc_id bigint, text string, n_chars int")
+    out = passages.remove(d)
+    assert out.dtypes == d.dtypes
+    assert sorted((str(r.text), r.n_chars) for r in out.collect()) == [("None", None), ("one é", 5), ("two", 3)]
+
+
 def test_passages_of_odd_tables(spark, empty):
     assert passages.digests(empty).count() == 0 and passages.remove(empty).count() == 0
     text = " ".join(f"w{i}" for i in range(20))
