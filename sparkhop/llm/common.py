@@ -23,6 +23,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compacted(df: DataFrame) -> DataFrame:
+    """``checkpointed`` in few files: a sixteenth of the shuffle partitions, or
+    one for each core.  For frames with a share of the input's rows that loops
+    read again and again: the driver keeps a record of each task, so tasks that
+    read almost nothing cost its memory."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) // 16
+    return checkpointed(df.repartition(max(spark.sparkContext.defaultParallelism, parts)))
+
+
 def smallest_hashes(df: DataFrame, key: str, rows: int) -> DataFrame:
     """A bounded sample: the ``rows`` rows with the smallest hashes of the key.
     In a larger table a limit on the hash first leaves about twice as many, so

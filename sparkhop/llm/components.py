@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import compacted
 
 
 #: Label steps in one plan, between two checkpoints.
@@ -31,14 +31,14 @@ def components(links: DataFrame) -> DataFrame:
     too, so a node that has no others is not in the result; repeated links count
     once; no links give no rows; further columns are not read."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = checkpointed(both.where("a <> b").distinct())
+    both = compacted(both.where("a <> b").distinct())
     label = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component"))
     while True:
         new = label
         for _ in range(STEPS):
             new = _step(new, both)
         before = label.select("node", F.col("component").alias("before"))
-        new = checkpointed(new.join(before, "node").select("node", "component", "before"))
+        new = compacted(new.join(before, "node").select("node", "component", "before"))
         label = new.select("node", "component")
         if new.where("component <> before").isEmpty():
             return label

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import checkpointed
+from .common import checkpointed, compacted
 from .components import components
 
 WORDS = 5
@@ -363,36 +363,40 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     def whole(inner: DataFrame) -> DataFrame:
         """Links inside nodes (node, id) that one task can hold."""
-        found = checkpointed(sketched(inner.join(sketch.select("id", "tokens"), "id")))
+        found = compacted(sketched(inner.join(sketch.select("id", "tokens"), "id")))
         small = confirmed(_ordered(found.where("node is null"), "a", "b"), texts)
         middle = found.where("node is not null").select("node", F.col("a").alias("id"))
         blocks = middle.join(sketch.select("id", "size"), "id").groupBy("node").agg(F.ceil(2 * F.sum("size") / SHINGLES).alias("blocks"))
         blocks = blocks.select("node", F.when(F.col("blocks") <= 2, F.lit(1)).otherwise(F.col("blocks")).alias("blocks"))
-        return checkpointed(small.unionByName(compared(in_blocks(middle, blocks).join(texts, "id"))))
+        return compacted(small.unionByName(compared(in_blocks(middle, blocks).join(texts, "id"))))
 
     while True:
         links.append(whole(nodes.where(F.col("n") <= MIDDLE)))
         large = nodes.where(F.col("n") > MIDDLE)
         if large.isEmpty():
             break
+        if depth == DEPTH:  # later rounds read the large nodes' members alone
+            wanted = large.select("id").distinct()
+            texts, sketch = (compacted(f.join(wanted, "id", "left_semi")) for f in (texts, sketch))
         pivot = large.groupBy("node").agg(F.min_by("id", F.xxhash64("id")).alias("y"))
-        links.append(checkpointed(test(_ordered(large.join(pivot, "node").where("id <> y"), "id", "y"))))
+        links.append(compacted(test(_ordered(large.join(pivot, "node").where("id <> y"), "id", "y"))))
         label = components(_union(links))
+        links = [label.select(F.col("node").alias("a"), F.col("component").alias("b"))]  # connects what all links so far do
         members = large.join(label, large.id == label.node, "left").select(large.node, "id", F.coalesce("component", "id").alias("component"))
         parts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
         sums = parts.groupBy("node").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max_by("component", "n").alias("main"))
         few = (F.col("n") * F.col("n") - F.col("squares")) / 2 <= FEW * F.col("n")
-        members = checkpointed(members.join(sums.where("squares < n * n").select("node", "n", "main", few.alias("few")), "node"))
+        members = compacted(members.join(sums.where("squares < n * n").select("node", "n", "main", few.alias("few")), "node"))
         minor = members.where("few and component <> main").select("node", F.col("id").alias("x"), F.col("component").alias("cx"))
         every = members.where("few").select("node", F.col("id").alias("y"), F.col("component").alias("cy"))
-        links.append(checkpointed(test(_ordered(minor.join(every, "node").where("cx <> cy"), "x", "y"))))
+        links.append(compacted(test(_ordered(minor.join(every, "node").where("cx <> cy"), "x", "y"))))
         wide = members.where("not few")
         if wide.isEmpty():
             break
         if depth >= LAST_DEPTH:
             links.append(whole(in_blocks(wide, wide.select("node", F.ceil(2 * F.col("n") / MIDDLE).alias("blocks")).distinct())))
             break
-        nodes = checkpointed(_shared(children(wide.join(sketch, "id").select("node", "id", "tokens"))))
+        nodes = compacted(_shared(children(wide.join(sketch, "id").select("node", "id", "tokens"))))
         depth += 2
     label = components(_union(links)).withColumnRenamed("node", "id")
     named = classes.select("set_a", "set_b", "id", "copies").join(label, "id", "left").select("set_a", "set_b", "copies", F.coalesce("component", "id").alias("component_id"))

@@ -65,6 +65,33 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, small, middle):
     assert {x.doc_id: x.component_id for x in near.cluster(df).collect()} == label
 
 
+def test_rounds_on_large_nodes_read_few_partitions(spark, monkeypatch):
+    """Each round's links are a new spanning forest in few files, however many
+    rounds there were: the driver keeps a record of each task."""
+    for name, value in (("SMALL", 3), ("MIDDLE", 4), ("LAST_DEPTH", 8), ("FEW", 0)):
+        monkeypatch.setattr(near, name, value)
+    seen = []
+
+    def counted(links):
+        seen.append(links.rdd.getNumPartitions())
+        return components(links)
+
+    monkeypatch.setattr(near, "components", counted)
+    own = [" ".join([f"w{k}" for k in range(120)] + [f"own{i // 2}x{k}" for k in range(12)] + [f"end{i}"] * (i % 2)) for i in range(24)]
+    rows = dict(enumerate(own))
+    df = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "20")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {x.doc_id: x.component_id for x in near.cluster(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == classes_of(sets_of(rows))
+    assert len(seen) > 1 and max(seen) <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_blocks_of_a_node_meet_each_other(spark):
     """10,000 members make 10,000 rows a block, and each two members meet."""
     members = spark.range(10_000).selectExpr("if(id < 9000, 7, 8) as node", "id")
