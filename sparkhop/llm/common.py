@@ -30,7 +30,15 @@ def compacted(df: DataFrame) -> DataFrame:
     read almost nothing cost its memory."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) // 16
-    return checkpointed(df.repartition(max(spark.sparkContext.defaultParallelism, parts)))
+    out = checkpointed(df.repartition(max(spark.sparkContext.defaultParallelism, parts)))
+    collect_garbage(spark)
+    return out
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Between long steps: the driver's JVM collects its garbage and gives free
+    heap back, and Spark drops the shuffles and broadcasts that it held."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def smallest_hashes(df: DataFrame, key: str, rows: int) -> DataFrame:

@@ -15,8 +15,10 @@ threshold) on the full sets.  Nodes of up to ``SMALL`` members send pairs, which
 are confirmed once for all trees; nodes of up to ``MIDDLE`` are compared inside
 one task, which sends a spanning forest of the links it has confirmed.  A larger
 node compares its members with one pivot.  Then only members of different
-components need comparing: if such pairs are few, they are compared; else the
-node branches by selected tokens.  What is still large at ``LAST_DEPTH``, and any
+components need comparing: if such pairs are few, they are compared; if all but
+``MIDDLE`` / 2 members are of one component, it is dealt into blocks and each is
+compared together with those others; else the node branches by selected tokens.
+What is still large at ``LAST_DEPTH``, and any
 node whose sets are too large for one task, is dealt into blocks, and each two
 blocks are compared like a node: m members make m times the number of blocks as
 rows, never their pairs.  So nothing is capped, and no task holds more than
@@ -27,6 +29,10 @@ set and are linked with nothing; texts of fewer words than a shingle have their
 whole word sequence as one; repeated rows are one class; a row without a key
 stays alone (null component); an empty table gives no rows.  Key and text alone
 are read, so other columns' names cannot clash.
+
+The driver's memory: a step's plans, tasks and shuffles are garbage when its rows
+are written, but the driver's heap grows while none of it is collected, so the
+first steps and each step of a loop (``compacted``) end with a collection.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import checkpointed, compacted
+from .common import checkpointed, collect_garbage, compacted
 from .components import components
 
 WORDS = 5
@@ -346,6 +352,16 @@ def in_blocks(members: DataFrame, blocks: DataFrame) -> DataFrame:
     return placed.select(F.when(F.col("blocks") == 1, F.col("node")).otherwise(both).alias("node"), "id")
 
 
+def around_main(members: DataFrame) -> DataFrame:
+    """(node, id) rows of nodes (node, id, component, main, most) in which each
+    block of the ``most`` members of the main component makes a node with all
+    other members."""
+    blocks = F.ceil(2 * F.col("most") / MIDDLE).cast("int")
+    own = F.array(F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    placed = F.explode(F.when(F.col("component") == F.col("main"), own).otherwise(F.sequence(F.lit(0), blocks - 1)))
+    return members.select("node", "id", placed.alias("own")).select(F.xxhash64("node", "own").alias("node"), "id")
+
+
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row."""
     signed = checkpointed(signatures(docs, key, text))
@@ -356,6 +372,7 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     wanted = nodes.select("id").distinct()
     texts = checkpointed(docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "id", "left_semi"))
     sketch = checkpointed(classes.join(wanted, "id", "left_semi").select("id", "tokens", "size"))
+    collect_garbage(docs.sparkSession)
     links, depth = [], DEPTH
 
     def test(pairs: DataFrame) -> DataFrame:
@@ -384,13 +401,17 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         links = [label.select(F.col("node").alias("a"), F.col("component").alias("b"))]  # connects what all links so far do
         members = large.join(label, large.id == label.node, "left").select(large.node, "id", F.coalesce("component", "id").alias("component"))
         parts = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
-        sums = parts.groupBy("node").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max_by("component", "n").alias("main"))
+        sums = parts.groupBy("node").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max_by("component", "n").alias("main"), F.max("n").alias("most"))
         few = (F.col("n") * F.col("n") - F.col("squares")) / 2 <= FEW * F.col("n")
-        members = compacted(members.join(sums.where("squares < n * n").select("node", "n", "main", few.alias("few")), "node"))
+        members = compacted(members.join(sums.where("squares < n * n").select("node", "n", "main", "most", few.alias("few")), "node"))
         minor = members.where("few and component <> main").select("node", F.col("id").alias("x"), F.col("component").alias("cx"))
         every = members.where("few").select("node", F.col("id").alias("y"), F.col("component").alias("cy"))
         links.append(compacted(test(_ordered(minor.join(every, "node").where("cx <> cy"), "x", "y"))))
-        wide = members.where("not few")
+        together = F.col("n") - F.col("most") <= MIDDLE // 2
+        single = members.where(~F.col("few") & together)
+        if not single.isEmpty():
+            links.append(whole(around_main(single)))
+        wide = members.where(~F.col("few") & ~together)
         if wide.isEmpty():
             break
         if depth >= LAST_DEPTH:

@@ -126,6 +126,40 @@ def test_unlike_members_of_one_node_and_hot_classes(spark, monkeypatch):
     assert got == {i: (len(sets[i]), label[i], label[i] == i) for i in rows}
 
 
+def test_blocks_around_a_main_component(spark, monkeypatch):
+    """Members of different components share a node; rows grow with the others'
+    number times the blocks, and a node has a block and the others."""
+    monkeypatch.setattr(near, "MIDDLE", 40)
+    rows = [(7, i, i if i < 12 else 12, 12, 500) for i in range(512)]
+    got = near.around_main(spark.createDataFrame(rows, "node long, id long, component long, main long, most long")).collect()
+    assert len(got) == 500 + 12 * 25
+    of, sizes = {}, {}
+    for r in got:
+        of.setdefault(r.id, set()).add(r.node)
+        sizes[r.node] = sizes.get(r.node, 0) + 1
+    assert all(of[a] & of[b] for a in range(12) for b in range(512)) and max(sizes.values()) < 2 * 40
+
+
+def test_a_main_component_and_others_need_no_branch(spark, monkeypatch):
+    """One large group of near copies and texts like it below the threshold."""
+
+    def branched(members):
+        raise AssertionError("the node branched")
+
+    for name, value in (("SMALL", 2), ("MIDDLE", 16), ("FEW", 0), ("children", branched)):
+        monkeypatch.setattr(near, name, value)
+    rows = {}
+    for i in range(60):
+        rows[i] = " ".join([f"w{k}" for k in range(120)] + [f"end{i}"])
+    for i in range(60, 66):  # pairs that share about 70 % with all others
+        rows[i] = " ".join([f"w{k}" for k in range(100)] + [f"own{i // 2}x{k}" for k in range(24)] + [f"end{i}"])
+    sets = sets_of(rows)
+    label = classes_of(sets)
+    assert len(set(label.values())) == 4
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near.cluster(spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")).collect()}
+    assert got == {i: (len(sets[i]), label[i], label[i] == i) for i in rows}
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 50), (100, 101), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
